@@ -107,9 +107,12 @@ def clean_list_plain(col: str | Column) -> Column:
 
 def distinct_by_case(arr: Column) -> Column:
     """Order-preserving distinct that ignores letter case."""
-    pair = F.struct(arr.alias("v"), F.transform(arr, F.lower).alias("k"))
     return let(
-        pair, lambda p: F.filter(p["v"], lambda x, i: F.array_position(p["k"], F.lower(x)) == i + 1)
+        arr,
+        lambda v: let(
+            F.transform(v, F.lower),
+            lambda keys: F.filter(v, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1),
+        ),
     )
 
 
@@ -282,7 +285,7 @@ def normalize_feed_name(col: str | Column) -> Column:
 
 def tokens(col: str | Column) -> Column:
     """Lower-case runs of letters and digits."""
-    return F.regexp_extract_all(F.lower(c(col)), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.array_remove(F.split(F.lower(c(col)), r"[^\p{L}\p{N}]+"), "")
 
 
 # Section headings of the older answer format.

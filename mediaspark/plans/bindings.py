@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions.media import gradient_hash, hash_text
 from ..functions.text import tokens
+from ..scale import spread
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 AS_OF = "2024-03-01 00:00:00"
 
 # Failure texts given to failed items, by id.
@@ -27,7 +29,8 @@ ERRORS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def as_of():

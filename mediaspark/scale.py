@@ -63,3 +63,49 @@ def global_top(df: DataFrame, order: list[Column], k: int, rank: str) -> DataFra
     """Top ``k`` of the whole table with a rank; only those rows are numbered."""
     cut = df.orderBy(*order).limit(k)
     return cut.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share out the rows of an input that has fewer files than there are cores.
+
+    A large table has many files and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
+def hot_keys(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """Keys owning more than ``limit`` rows, with their count ``n``."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > limit)
+
+
+def tiled_cogroup(
+    left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str, fn, schema: str, tile: int
+) -> DataFrame:
+    """Cogroup two sides on ``keys`` in tiles of about ``tile`` rows a side.
+
+    A key with many rows on either side is cut into a grid of tiles, so no
+    task ever holds more than one tile of each side, and every pair of rows
+    with an equal key meets in exactly one tile.
+    """
+
+    def parts(df: DataFrame, name: str) -> DataFrame:
+        hot = hot_keys(df, keys, tile)
+        return hot.select(*keys, F.ceil(F.col("n") / tile).cast("bigint").alias(name))
+
+    grid = parts(left, "_lp").join(parts(right, "_rp"), keys, "full")
+    grid = broadcast_if_small(grid.na.fill(1, ["_lp", "_rp"]))
+    one = F.lit(1).cast("bigint")
+
+    def side(df: DataFrame, own: str, row_id: str, other: str, own_tile: str, other_tile: str) -> DataFrame:
+        return (
+            df.join(grid, keys, "left")
+            .withColumn(own_tile, F.pmod(F.xxhash64(row_id, F.lit(own)), F.coalesce(own, one)))
+            .withColumn(other_tile, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, one) - 1)))
+            .drop(own, other)
+        )
+
+    lt = side(left, "_lp", left_id, "_rp", "_lt", "_rt")
+    rt = side(right, "_rp", right_id, "_lp", "_rt", "_lt")
+    group = [*keys, "_lt", "_rt"]
+    return lt.groupBy(*group).cogroup(rt.groupBy(*group)).applyInPandas(fn, schema)
