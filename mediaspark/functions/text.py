@@ -39,7 +39,7 @@ def valid_utf8(col: str | Column) -> Column:
 
 def normalize_query(col: str | Column) -> Column:
     """B1: trim, cut to 200 characters, valid UTF-8, lower case, single blanks."""
-    return collapse(F.lower(valid_utf8(F.substring(strip(col), 1, 200))))
+    return let(F.substring(strip(col), 1, 200), lambda s: collapse(F.lower(valid_utf8(s))))
 
 
 def blank_if_null(col: str | Column) -> Column:

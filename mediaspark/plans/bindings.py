@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.media import gradient_hash, hash_text
 from ..functions.text import tokens
 from ..scale import spread
+from ..session import cut_lineage
 
 TEXT_TABLES = ("documents", "pages", "conversations")
 AS_OF = "2024-03-01 00:00:00"
@@ -176,25 +177,33 @@ tvec AS (SELECT vec_id - 1 AS id, embedding::DOUBLE[] AS v FROM embeddings WHERE
 """
 
 
-def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, phash``: the gradient hash of a 16 x 17 grid of word counts."""
-    grid = (
+def hash_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, grid``: a 16 x 17 grid of word counts, the words placed by their md5."""
+    cell = F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("bigint") % 272
+    cells = (
         table(spark, sf_dir, "documents")
-        .select("doc_id", F.explode(tokens("text")).alias("w"))
-        .select("doc_id", (F.conv(F.substring(F.md5("w"), 1, 6), 16, 10).cast("bigint") % 272).alias("cell"))
-        .groupBy("doc_id", "cell")
-        .count()
-        .groupBy("doc_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("cell", "count"))).alias("m"))
-        .select(
-            F.col("doc_id").alias("id"),
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), F.lit(271).cast("bigint")),
-                lambda b: F.coalesce(F.try_element_at("m", b), F.lit(0).cast("bigint")),
-            ).alias("grid"),
-        )
+        .select(F.col("doc_id").alias("id"), F.explode(tokens("text")).alias("w"))
+        .select("id", F.floor(cell / 17).cast("int").alias("row"), (cell % 17).cast("int").alias("at"))
     )
-    return grid.select("id", gradient_hash("grid").alias("phash"))
+    counts = F.array(*[F.count_if(F.col("at") == i) for i in range(17)])
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), 17)
+
+    def row(r):
+        mine = F.filter("rows", lambda x: x["row"] == r)
+        return F.coalesce(F.get(mine, F.lit(0))["counts"], zeros)
+
+    return (
+        cells.groupBy("id", "row")
+        .agg(counts.alias("counts"))
+        .groupBy("id")
+        .agg(F.collect_list(F.struct("row", "counts")).alias("rows"))
+        .select("id", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(15)), row)).alias("grid"))
+    )
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, phash``: the gradient hash of each grid, stored once as an ingest would."""
+    return cut_lineage(hash_grids(spark, sf_dir).select("id", gradient_hash("grid").alias("phash")))
 
 
 def items_with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,7 +211,7 @@ def items_with_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashes(spark, sf_dir).select("id", hash_text("phash").alias("bits"))
+    return hash_grids(spark, sf_dir).select("id", hash_text(gradient_hash("grid")).alias("bits"))
 
 
 # one row per item: 256 characters '0'/'1'

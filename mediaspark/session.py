@@ -20,6 +20,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.codegen.cache.maxEntries", "400")
         .getOrCreate()
     )
