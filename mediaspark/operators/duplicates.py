@@ -45,44 +45,47 @@ def near_hashes(hashes: DataFrame, distance: int = DISTANCE, hot_bucket: int = H
     """``video, a, b, dist``: pairs ``a < b`` of different hashes within ``distance``.
 
     ``hashes`` has one row ``rep, video, phash`` per distinct hash, so copies
-    never multiply.  Crowded buckets are compared tile by tile.
+    never multiply.
     """
-    banded = _bands(hashes, distance)
+    return near_between(hashes, hashes, distance, hot_bucket, ordered=True)
+
+
+def near_between(
+    left: DataFrame, right: DataFrame, distance: int, hot_bucket: int = HOT_BUCKET, ordered: bool = False
+) -> DataFrame:
+    """Pairs of a left and a right hash within ``distance``; crowded buckets go tile by tile."""
     keys = ["video", "band", "key"]
-    hot = hot_keys(banded, keys, hot_bucket).select(*keys)
+    lb = _bands(left.select("video", F.col("rep").alias("a"), "phash"), distance)
+    rb = _bands(right.select("video", F.col("rep").alias("b"), "phash"), distance)
+    hot = hot_keys(rb, keys, hot_bucket).select(*keys)
     crowded = not fits(hot, 0)
-    calm = banded.join(hot, keys, "left_anti") if crowded else banded
-    left = calm.select(*keys, F.col("rep").alias("a"), F.col("phash").alias("ha"))
-    right = calm.select(*keys, F.col("rep").alias("b"), F.col("phash").alias("hb"))
-    pairs = (
-        left.join(right, keys)
-        .filter("a < b")
-        .select("video", "a", "b", hamming("ha", "hb").alias("dist"))
-        .filter(F.col("dist") <= distance)
-    )
+    calm_l, calm_r = lb, rb
+    if crowded:
+        calm_l, calm_r = lb.join(hot, keys, "left_anti"), rb.join(hot, keys, "left_anti")
+    pairs = calm_l.withColumnRenamed("phash", "ha").join(calm_r.withColumnRenamed("phash", "hb"), keys)
+    if ordered:
+        pairs = pairs.filter("a < b")
+    pairs = pairs.select("video", "a", "b", hamming("ha", "hb").alias("dist")).filter(F.col("dist") <= distance)
     if crowded:
-        busy = banded.join(hot, keys, "left_semi").select(*keys, "rep", "phash")
 
         def tile(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
             if not len(x) or not len(y):
-                return pd.DataFrame({"video": [], "a": [], "b": [], "dist": []}).astype(
-                    {"video": bool, "a": "int64", "b": "int64", "dist": "int32"}
-                )
+                none = pd.DataFrame({"video": [], "a": [], "b": [], "dist": []})
+                return none.astype({"video": bool, "a": "int64", "b": "int64", "dist": "int32"})
             xs = np.stack(x["phash"].to_numpy()).view(np.uint64)
             ys = np.stack(y["phash"].to_numpy()).view(np.uint64)
             d = np.zeros((len(xs), len(ys)), dtype=np.int32)
             for w in range(4):
                 d += np.bitwise_count(xs[:, w, None] ^ ys[None, :, w])
-            a, b = x["rep"].to_numpy(), y["rep"].to_numpy()
-            i, j = np.nonzero((d <= distance) & (a[:, None] < b[None, :]))
+            a, b = x["a"].to_numpy(), y["b"].to_numpy()
+            near = d <= distance
+            if ordered:
+                near &= a[:, None] < b[None, :]
+            i, j = np.nonzero(near)
             return pd.DataFrame({"video": x["video"].iloc[0], "a": a[i], "b": b[j], "dist": d[i, j]})
 
-        twin = busy.withColumnRenamed("rep", "rep2")
-        far = tiled_cogroup(
-            busy, twin, keys, "rep", "rep2",
-            lambda x, y: tile(x, y.rename(columns={"rep2": "rep"})),
-            "video boolean, a bigint, b bigint, dist int", TILE,
-        )
+        busy_l, busy_r = lb.join(hot, keys, "left_semi"), rb.join(hot, keys, "left_semi")
+        far = tiled_cogroup(busy_l, busy_r, keys, "a", "b", tile, "video boolean, a bigint, b bigint, dist int", TILE)
         pairs = pairs.unionByName(far)
     return pairs.distinct()
 
