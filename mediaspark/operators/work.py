@@ -18,7 +18,7 @@ MAX_ATTEMPTS = 3
 def before(as_of: Column, minutes: int | Column) -> Column:
     """The instant ``minutes`` before ``as_of``, as microseconds."""
     m = F.lit(minutes) if isinstance(minutes, int) else minutes
-    return F.unix_micros(as_of) - (m * 60_000_000).cast("bigint")
+    return F.unix_micros(as_of) - (m.cast("double") * 60_000_000).cast("bigint")
 
 
 def older(col: str, as_of: Column, minutes: int | Column) -> Column:

@@ -52,8 +52,8 @@ def stream_login_throttle_clear(spark, d):
 @query(
     "stream_rate_10m",
     """WITH m AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS m FROM events WHERE event_type = 'purchase'),
-    e AS (SELECT m + to_minutes(i) AS at FROM m, (SELECT unnest(range(1, 11)) AS i))
-    SELECT epoch_us(at) AS at_us, count(*) AS n, round(count(*) / 10.0::DOUBLE, 6) AS rate FROM e GROUP BY 1""",
+    e AS (SELECT m + to_minutes(i) AS tick FROM m, (SELECT unnest(range(1, 11)) AS i))
+    SELECT epoch_us(tick) AS at_us, count(*) AS n, round(count(*) / 10.0::DOUBLE, 6) AS rate FROM e GROUP BY 1""",
 )
 def stream_rate_10m(spark, d):
     out = jobs.rate_10m(b.events(spark, d).filter("event_type = 'purchase'"))

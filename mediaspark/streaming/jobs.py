@@ -80,9 +80,10 @@ def rate_10m(events: DataFrame) -> DataFrame:
 def debounce(events: DataFrame, every: int = 60) -> DataFrame:
     """K4: ``scope, bump``: at most one version bump per ``every`` seconds.
 
-    A change during the pause marks the scope dirty and is bumped when the
-    pause ends.  Before the shuffle each task keeps one row per scope and
-    second, so a busy scope sends seconds, not events.
+    A change during the pause after a bump causes one more when the pause
+    ends; that time is known at once, so no timer is needed.  The state is
+    the last bump, which may lie ahead.  Before the shuffle each task keeps
+    one row per scope and second, so a busy scope sends seconds, not events.
     """
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,37 +91,28 @@ def debounce(events: DataFrame, every: int = 60) -> DataFrame:
             yield pdf.drop_duplicates(["scope", "second"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, dirty = state.get if state.exists else (None, False)
+        last = state.get[0] if state.exists else None
+        seen: set[int] = set()
+        for pdf in batches:
+            seen.update(pdf["second"].tolist())
         bumps = []
-        if state.hasTimedOut:
-            if dirty:
-                last, dirty = last + every, False
-                bumps.append(last)
-        else:
-            seen: set[int] = set()
-            for pdf in batches:
-                seen.update(pdf["second"].tolist())
-            for second in sorted(seen):
-                if dirty and second >= last + every:
-                    last, dirty = last + every, False
-                    bumps.append(last)
-                if last is None or second >= last + every:
-                    last, dirty = second, False
-                    bumps.append(second)
-                else:
-                    dirty = True
-        state.update((last, dirty))
-        if dirty:
-            state.setTimeoutDuration(every * 1000)
+        for second in sorted(seen):
+            if last is None or second >= last + every:
+                last = second
+            elif second > last:
+                last = last + every
+            else:
+                continue
+            bumps.append(last)
+        if last is not None:
+            state.update((last,))
         yield pd.DataFrame({"scope": [key[0]] * len(bumps), "bump": pd.Series(bumps, dtype="int64")})
 
     seconds = events.select("scope", F.floor(F.unix_micros("ts") / 1_000_000).alias("second"))
     return (
         seconds.mapInPandas(thin, "scope string, second bigint")
         .groupBy("scope")
-        .applyInPandasWithState(
-            step, "scope string, bump bigint", "last long, dirty boolean", "append", GroupStateTimeout.ProcessingTimeTimeout
-        )
+        .applyInPandasWithState(step, "scope string, bump bigint", "last long", "append", GroupStateTimeout.NoTimeout)
     )
 
 
