@@ -98,12 +98,14 @@ def tiled_cogroup(
     one = F.lit(1).cast("bigint")
 
     def side(df: DataFrame, own: str, row_id: str, other: str, own_tile: str, other_tile: str) -> DataFrame:
-        return (
+        split = (
             df.join(grid, keys, "left")
             .withColumn(own_tile, F.pmod(F.xxhash64(row_id, F.lit(own)), F.coalesce(own, one)))
             .withColumn(other_tile, F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce(other, one) - 1)))
             .drop(own, other)
         )
+        # fresh column identities, so that a table can meet itself
+        return split.select(*[F.col(c).alias(c) for c in split.columns])
 
     lt = side(left, "_lp", left_id, "_rp", "_lt", "_rt")
     rt = side(right, "_rp", right_id, "_lp", "_rt", "_lt")
