@@ -142,23 +142,23 @@ def nearest_hash(items: DataFrame, distance: int = DISTANCE, hot_bucket: int = H
         .agg(F.min("id").alias("known2"))
     )
     groups = groups.join(second, ["video", "phash"], "left")
+    groups = cut_lineage(groups)
     near = near_hashes(groups.select("rep", "video", "phash"), distance, hot_bucket).select("a", "b", "dist")
     both = (
         near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "dist"))
         .unionByName(groups.select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(0).alias("dist")))
     )
     facts = groups.select(F.col("rep").alias("b"), "first", "known1", "known2")
+    both = cut_lineage(both.join(facts, "b"))
     per_distance = (
-        both.join(facts, "b")
-        .groupBy("a", "dist")
+        both.groupBy("a", "dist")
         .agg(
             F.min("first").alias("first"),
         )
     )
     # two smallest analysed ids per distance
     two = (
-        both.join(facts, "b")
-        .select("a", "dist", F.explode(F.array_compact(F.array("known1", "known2"))).alias("k"))
+        both.select("a", "dist", F.explode(F.array_compact(F.array("known1", "known2"))).alias("k"))
         .distinct()
     )
     two = top_k(two, ["a", "dist"], [F.asc("k")], 2).groupBy("a", "dist").agg(F.min("k").alias("k1"), F.max("k").alias("k2"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_query
 from ..model import is_visible, visible
 from ..scale import broadcast_if_small, top_k
+from ..session import cut_lineage
 from . import fulltext, fuzzy
 from .knn import knn, knn_below, without_self
 
@@ -84,7 +85,8 @@ def hybrid_search(
     searches, which are then lexical only (``semantic`` is false).
     """
     shown = visible(items, kind)
-    exact = fulltext.fts_rank(shown, queries)
+    # at most 240 rows per search, needed by the fusion and by the fuzzy gate
+    exact = cut_lineage(fulltext.fts_rank(shown, queries))
     lists = {"text": exact, "fuzzy": fuzzy.fuzzy_gate(fuzzy.fuzzy_match(shown, queries), exact)}
     known = None
     for name, vecs, most in (("text_vec", text_vecs, text_max), ("clip_vec", clip_vecs, clip_max)):

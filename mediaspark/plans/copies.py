@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.media import hamming, hash_text, ones, usable_hash
 from ..operators import duplicates, merging
 from ..operators.duplicates import Visual
+from ..session import cut_lineage
 from . import bindings as b
 from .registry import query
 from .search import knn_sql
@@ -77,7 +78,7 @@ vj AS (SELECT a, b, sim, sim >= {V.sure_sim} AS sure, 'looks ' || floor(sim * 10
 def judged(spark, d):
     """Judged picture pairs of the items taken as pictures without text."""
     items = b.items_with_vectors(spark, d).withColumn("ocr_text", F.lit(""))
-    return duplicates.judged_pairs(duplicates.visual_pairs(items, V.floor), items, V)
+    return cut_lineage(duplicates.judged_pairs(duplicates.visual_pairs(items, V.floor), items, V))
 
 
 @query("visual_pairs", f"WITH {b.ITEMS_SQL}, {VISUAL_SQL} SELECT a, b, round(sim, 6) AS sim FROM vp")

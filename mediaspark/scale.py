@@ -59,12 +59,6 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return top_k(df, keys, order, 1)
 
 
-def global_top(df: DataFrame, order: list[Column], k: int, rank: str) -> DataFrame:
-    """Top ``k`` of the whole table with a rank; only those rows are numbered."""
-    cut = df.orderBy(*order).limit(k)
-    return cut.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Share out the rows of an input that has fewer files than there are cores.
 
