@@ -31,13 +31,17 @@ def build_session(master: str = "local[8]", partitions: int = 8, memory: str = "
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a
-    temporary folder of its own.
+    Only a local session without ``spark.checkpoint.dir`` (a test) gets a
+    temporary folder of its own; a cluster must name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", "")
     if not named:
-        named = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="mediaspark-")
+        named = sc.getCheckpointDir()
+    if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="mediaspark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
     return named
