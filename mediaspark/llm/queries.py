@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, counting, language, mixing, packing, sketch
+from . import binary, counting, language, mixing, packing, sketch, substrings
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -41,6 +41,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.edited_fingerprints(documents(spark, sf_dir))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(documents(spark, sf_dir), PIECES)
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_matrices": op5_matrices,
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
+    "op8_substrings": op8_substrings,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
