@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, counting, language, mixing, packing, sketch, substrings
+from . import binary, counting, language, lines, mixing, packing, sketch, substrings
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -45,6 +45,10 @@ def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(documents(spark, sf_dir))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(documents(spark, sf_dir), PIECES)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
     "op8_substrings": op8_substrings,
+    "op9_lines": op9_lines,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op9_lines": lines.ORACLE}
