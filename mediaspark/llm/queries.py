@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, counting, language, lines, mixing, packing, sketch, substrings
+from . import binary, counting, jaccard, language, lines, mixing, packing, sketch, substrings
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
+
+
 def op5_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.packed_matrices(documents(spark, sf_dir), BYTE_BPE)
 
@@ -56,6 +60,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op4_jaccard": op4_jaccard,
     "op5_matrices": op5_matrices,
     "op6_language": op6_language,
     "op7_fingerprints": op7_fingerprints,
@@ -63,4 +68,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_lines": op9_lines,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op9_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE}
