@@ -136,6 +136,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, lon
     are kept row by row; other columns are ignored.  Reruns agree.
     """
     sizes = sized(docs)
+    return _judged(sizes, weights, cap, longest, shard_slots).drop("_row")
+
+
+def _judged(sizes: DataFrame, weights: tuple[int, ...], cap: int, longest: int, shard_slots: int) -> DataFrame:
     sources = cut_lineage(source_targets(sizes, weights, cap, longest))
     drawn = slot_table(sources, shard_slots).groupBy("s", "index").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     taken = (
@@ -148,10 +152,27 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, lon
     return (
         sizes.join(own, F.col("source").eqNullSafe(F.col("_source")))
         .join(taken, "_row", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_shard")
+        .select("_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_shard")
     )
 
 
+def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, longest: int = LONGEST, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """``docs`` in the proportions of the mix: each row as often as the mix takes its words, in whole documents.
+
+    A row comes floor(taken / size) times, and once more with the chance of the
+    remainder (by a hash of the row, so reruns agree): never above ``cap``.
+    Rows without words are not taken.  All columns are kept.  ``docs`` must be
+    readable again in the same order (a table).
+    """
+    names = docs.columns
+    judged = _judged(sized(docs), weights, cap, longest, shard_slots).filter("taken > 0")
+    draw = F.pmod(F.xxhash64("_row", F.lit(29)), F.lit(1_000_003)) / 1_000_003
+    times = F.expr("taken div size").cast("int") + F.when(draw < (F.col("taken") % F.col("size")) / F.col("size"), 1).otherwise(0)
+    drawn = judged.select("_row", times.alias("_times")).filter("_times > 0")
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(drawn, "_row")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+
+
 ORACLE = rf"""
 WITH sizes AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary, counting, jaccard, language, lines, mixing, packing, sketch, substrings
+from . import audio, binary, counting, jaccard, language, lines, mixing, packing, sketch, substrings
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The UTF-8 bytes of every whole text are the unsigned 8-bit samples of its recording."""
+    return audio.align(documents(spark, sf_dir).selectExpr("doc_id", "cast(text as binary) audio"), "audio")
+
+
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(documents(spark, sf_dir)).select("doc_id", "class_id", "n_links")
 
@@ -60,6 +65,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
+    "op3_audio": op3_audio,
     "op4_jaccard": op4_jaccard,
     "op5_matrices": op5_matrices,
     "op6_language": op6_language,
