@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .names import all_of
 from .words import blocks
 
 RATE = 8000
@@ -111,8 +112,8 @@ def fingerprints(recordings: DataFrame, audio: str) -> DataFrame:
                 [*kept, "n_frames", "codes"],
             )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in recordings.select(*kept).schema)
-    return recordings.select(audio, *kept).mapInArrow(run, f"{schema}, n_frames int, codes binary")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in recordings.select(*all_of(kept)).schema)
+    return recordings.select(audio, *all_of(kept)).mapInArrow(run, f"{schema}, n_frames int, codes binary")
 
 
 def _placed(prints: DataFrame) -> DataFrame:

@@ -142,7 +142,7 @@ def segments(packed: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for ids, ends, docs, numbers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                out += [(d, p, ids[2 * a : 2 * b]) for d, p, a, b in zip(docs, numbers, ends, ends[1:], strict=True)]
+                out += [(d, p, ids[2 * a : 2 * b]) for d, p, a, b in zip(docs, numbers, ends[:-1], ends[1:], strict=True)]
             kinds = (pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), kinds, strict=True)], ["doc_id", "piece", "ids"])
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.duplicates import components as connected
 from ..session import cut_lineage
+from .names import all_of, unused
 from .tiles import Overlaps, components, group_ids, runs, tiled
 from .words import U, Words, blocks, lists, mix, salted, sets, windows
 
@@ -267,8 +268,9 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def without_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each group of ``docs``, all columns as they are."""
     names = docs.columns
-    kept = similar_documents(docs).filter("keep").select(F.col("_row").alias("_kept"))
-    return docs.withColumn("_at", F.monotonically_increasing_id()).join(kept, F.col("_at") == F.col("_kept"), "left_semi").select(*names)
+    row = unused(names, "_row")
+    kept = similar_documents(docs).filter("keep").select(F.col("_row").alias(row))
+    return docs.withColumn(row, F.monotonically_increasing_id()).join(kept, row, "left_semi").select(*all_of(names))
 
 
 ORACLE = r"""

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .names import all_of
 
 MARK = "▁"
 RUN = re.compile(r"[^\W\d_]+")
@@ -255,8 +256,8 @@ def predict(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
                     [*kept, "lang_pred", "score"],
                 )
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
-    return docs.select(*kept).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*all_of(kept)).schema)
+    return docs.select(*all_of(kept)).mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
 def held_out() -> Column:

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .names import all_of, unused
 from .tiles import Overlaps, components, group_ids, runs, tiled
 from .words import U, Words, blocks, mix, salted
 
@@ -260,11 +261,12 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text`` (null stays null); no row is dropped."""
     names = docs.columns
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    joined = rows.join(_removed(_keyed(docs)), "_row", "left")
-    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn("text", text).select(*names)
+    row, gone = unused(names, "_row"), unused(names, "_gone")
+    removed = _removed(_keyed(docs)).select(F.col("_row").alias(row), F.col("_gone").alias(gone))
+    joined = docs.withColumn(row, F.monotonically_increasing_id()).join(removed, row, "left")
+    kept = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn("text", text).select(*all_of(names))
 
 
 ORACLE = r"""

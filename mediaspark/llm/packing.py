@@ -206,26 +206,29 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, nodes:
 
     Rows may repeat and other columns may hold nulls; all are carried along.
     """
-    parts = cut_lineage(parts).withColumn("_row", F.monotonically_increasing_id())
-    names = [c for c in parts.columns if c != "_row"]
-    count = max(1, -(-parts.filter(F.col("length") < capacity).count() // block))
-    alone = parts.filter(F.col("length") == capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
+    parts = parts.drop("sequence_id", "offset")
+    names = parts.columns
+    plain = [f"c{i}" for i in range(len(names))]  # grouped Arrow functions take no dotted names
+    size, row = plain[names.index("length")], "row_"
+    parts = cut_lineage(parts.toDF(*plain)).withColumn(row, F.monotonically_increasing_id())
+    short = parts.filter(F.col(size) < capacity)
+    count = max(1, -(-short.count() // block))
+    alone = parts.filter(F.col(size) == capacity).select(*plain, (-1 - F.col(row)).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        bins, offsets = place(table.column("length").to_numpy(), capacity, nodes)
-        sequence = (table.column("_block")[0].as_py() << 32) + bins
-        return table.select(names).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
+        bins, offsets = place(table.column(size).to_numpy(), capacity, nodes)
+        sequence = (table.column("block_")[0].as_py() << 32) + bins
+        return table.select(plain).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offsets))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.select(*names).schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*plain).schema)
     rest = (
-        parts.filter(F.col("length") < capacity)
-        .withColumn("_block", F.pmod(F.xxhash64("_row"), F.lit(count)).cast("bigint"))
-        .drop("_row")
-        .groupBy("_block")
+        short.withColumn("block_", F.pmod(F.xxhash64(row), F.lit(count)).cast("bigint"))
+        .drop(row)
+        .groupBy("block_")
         .applyInArrow(solve, f"{schema}, sequence_id bigint, offset bigint")
     )
-    return rest.unionByName(alone)
+    return rest.unionByName(alone).toDF(*names, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, block: int = BLOCK, nodes: int = NODES) -> DataFrame:
