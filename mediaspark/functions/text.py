@@ -136,10 +136,25 @@ def _analysis_fields(v: Column) -> Column:
         return F.substring(strip(blank_if_null(F.try_variant_get(v, f"$.{key}", "string"))), 1, size)
 
     def labels(key: str, size: int, lower: bool = False) -> Column:
-        return clean_list(F.try_variant_get(v, f"$.{key}", "array<string>"), size, lower)
+        # only strings are labels, whatever else the list holds
+        values = F.try_variant_get(v, f"$.{key}", "array<variant>")
+        strings = F.filter(values, lambda x: F.schema_of_variant(x) == "STRING")
+        return clean_list(F.transform(strings, lambda x: F.try_variant_get(x, "$", "string")), size, lower)
 
     def flag(key: str, default: bool) -> Column:
-        return F.coalesce(F.try_variant_get(v, f"$.{key}", "boolean"), F.lit(default))
+        """An absent flag has the default; a present value counts as in JSON truth: null, zero and empty are false."""
+        value = F.try_variant_get(v, f"$.{key}", "variant")
+        kind = F.schema_of_variant(value)
+        shown = F.try_variant_get(v, f"$.{key}", "string")
+        number = F.try_variant_get(v, f"$.{key}", "double")
+        truth = (
+            F.when(kind == "VOID", False)
+            .when(kind == "BOOLEAN", F.try_variant_get(v, f"$.{key}", "boolean"))
+            .when(kind == "STRING", shown != "")
+            .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~shown.isin("[]", "{}"))
+            .otherwise(number != 0)
+        )
+        return F.when(value.isNull(), default).otherwise(F.coalesce(truth, F.lit(True)))
 
     lang = F.substring(F.lower(strip(blank_if_null(F.try_variant_get(v, "$.language", "string")))), 1, 8)
     return F.struct(
