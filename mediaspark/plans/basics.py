@@ -432,9 +432,10 @@ def transient_error(spark, d):
 
 @query(
     "parse_sections",
-    rf"""SELECT doc_id AS id, 'about ' || source AS description, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS ocr_text,
-      CASE doc_id % 3 WHEN 0 THEN 'one|two' WHEN 1 THEN 'red|blue' ELSE source || '|last' END AS tags
-    FROM documents WHERE NOT regexp_matches(text, '3\.|\[') """,
+    rf"""SELECT doc_id AS id, 'about ' || source AS description,
+      regexp_replace(regexp_extract(text || chr(10) || '3.', '(?s)^(.*?)(?:VISUAL CHARACTERISTICS|CONTENT CONTEXT|3\.)', 1), '^{WS}+|{WS}+$', '', 'g') AS ocr_text,
+      CASE doc_id % 3 WHEN 0 THEN CASE WHEN regexp_matches(text, '\[[^\n]*\]') THEN '["one|two"]' ELSE 'one|two' END WHEN 1 THEN 'red|blue' ELSE source || '|last' END AS tags
+    FROM documents""",
 )
 def parse_sections(spark, d):
     i = F.col("doc_id")
@@ -449,7 +450,6 @@ def parse_sections(spark, d):
     )
     return (
         b.table(spark, d, "documents")
-        .filter(~F.col("text").rlike(r"3\.|\["))
         .select(i.alias("id"), text.parse_sections(raw).alias("p"))
         .select("id", "p.description", "p.ocr_text", F.array_join("p.tags", "|").alias("tags"))
     )

@@ -68,16 +68,15 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "status": status,
         "hidden": F.coalesce("toxic", F.lit(False)),
         "hidden_reason": F.when(F.coalesce("toxic", F.lit(False)), "flagged").otherwise(""),
-        "title": F.substring(F.split("text", "\n")[0], 1, 60),
+        "title": F.split("text", "\n")[0],
         "ocr_text": F.col("text"),
         "description": F.lit(""),
         "transcript": F.when(i % 7 == 3, F.col("source")).otherwise(""),
         "song": F.lit(""),
         "sounds": none,
         "template": F.col("source"),
-        "tags": F.slice(
-            F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), F.lit(1))), 1, 40
-        ),
+        # the distinct long words of the whole text
+        "tags": F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{10,})"), F.lit(1))),
         "objects": none,
         "people": F.array(
             F.concat(F.lit("p"), F.col("n_chars") % 40), F.concat(F.lit("p"), i % 25)
@@ -111,6 +110,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(flags, "doc_id", "left").select(*[v.alias(k) for k, v in cols.items()])
 
 
+def cursor(spark: SparkSession, sf_dir: str) -> int:
+    """Where a reader of the item list has got to: nine tenths of the highest id."""
+    return int(table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0) * 9 // 10
+
+
 ITEMS_SQL = f"""
 flags AS (SELECT doc_id, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
 items0 AS (
@@ -119,7 +123,7 @@ items0 AS (
     CASE WHEN d.doc_id % 17 = 0 THEN 'failed' WHEN d.doc_id % 19 = 0 THEN 'pending'
          WHEN d.doc_id % 23 = 0 THEN 'processing' ELSE 'done' END AS status,
     coalesce(f.toxic, false) AS hidden,
-    substr(string_split(d.text, chr(10))[1], 1, 60) AS title, d.text AS ocr_text, '' AS description,
+    string_split(d.text, chr(10))[1] AS title, d.text AS ocr_text, '' AS description,
     CASE WHEN d.doc_id % 7 = 3 THEN d.source ELSE '' END AS transcript, '' AS song,
     d.source AS template, 'p' || (d.n_chars % 40) AS p1, 'p' || (d.doc_id % 25) AS p2,
     CASE WHEN d.doc_id % 3 = 0 THEN d.source ELSE '' END AS caption, d.lang AS lang,
@@ -150,11 +154,11 @@ items AS (SELECT *, CASE WHEN status = 'failed' THEN err ELSE '' END AS error,
 """
 
 TAGS_SQL = r"""
-words0 AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '\p{L}{4,}') AS w FROM documents),
+words0 AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '\p{L}{10,}') AS w FROM documents),
 words1 AS (SELECT id, unnest(w) AS tag, generate_subscripts(w, 1) AS p FROM words0),
 words2 AS (SELECT id, tag, min(p) AS p FROM words1 GROUP BY ALL),
 item_tags AS (SELECT id, tag, pos FROM (
-  SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY p) AS pos FROM words2) WHERE pos <= 40),
+  SELECT id, tag, row_number() OVER (PARTITION BY id ORDER BY p) AS pos FROM words2)),
 tag_lists AS (SELECT id, list(tag ORDER BY pos) AS tags FROM item_tags GROUP BY id)
 """
 

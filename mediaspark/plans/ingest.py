@@ -96,19 +96,18 @@ def page_to_posts(spark, d):
 
 
 def previews(spark, d):
-    """Feed preview pages: the article of each page as the text of a post.
+    """Feed preview pages: the whole markup of each page inside a post.
 
     A photo post, a post of another feed, and a video whose length follows
     the page number; every third video lacks its source.
     """
     p = F.col("page_id").cast("string")
     feed = F.concat(F.lit("feed_"), (F.col("page_id") % 7).cast("string"))
-    article = F.regexp_extract("html", r"(?s)<article>(.*)</article>", 1)
     parts = [
         F.lit('<html><head><meta property="og:title" content=" News "></head><body><div class="tgme_channel_info"></div>'),
         F.lit('<div class="tgme_widget_message" data-post="'), feed, F.lit("/"), p, F.lit("1\">"),
         F.lit("<a class=\"tgme_widget_message_photo_wrap x\" style=\"width:8px;background-image:url('"), F.col("url"),
-        F.lit("')\" href=\"https://t.me/f/"), p, F.lit('1?single"></a><div class="tgme_widget_message_text">'), article,
+        F.lit("')\" href=\"https://t.me/f/"), p, F.lit('1?single"></a><div class="tgme_widget_message_text">'), F.col("html"),
         F.lit('</div><a class="tgme_widget_message_date"><time datetime="2025-03-01T10:00:00+00:00">10:00</time></a></div>'),
         F.lit('<div class="tgme_widget_message" data-post="other/9"></div>'),
         F.lit('<div class="tgme_widget_message" data-post="'), feed, F.lit("/"), p, F.lit('3"><a class="tgme_widget_message_video_player" href="">'),

@@ -199,11 +199,11 @@ def repair_todo(spark, d):
 
 @query(
     "hash_todo",
-    f"WITH {b.ITEMS_SQL} SELECT id FROM items WHERE id % 3 = 0 AND thumb_path <> '' AND id > 100 ORDER BY id LIMIT 500",
+    f"WITH {b.ITEMS_SQL} SELECT id FROM items WHERE id % 3 = 0 AND thumb_path <> '' AND id > (SELECT max(id) * 9 // 10 FROM items) // 9 ORDER BY id LIMIT 500",
 )
 def hash_todo(spark, d):
     missing = F.when(F.col("id") % 3 != 0, F.array(F.lit(1).cast("bigint")))
-    return work.hash_todo(b.items(spark, d).withColumn("phash", missing), after_id=100)
+    return work.hash_todo(b.items(spark, d).withColumn("phash", missing), after_id=b.cursor(spark, d) // 9)
 
 
 @query(
@@ -226,11 +226,11 @@ def delivery_todo(spark, d):
 
 @query(
     "relay_todo",
-    f"""WITH {b.ITEMS_SQL}, {DELIVERIES_SQL} SELECT id FROM items WHERE delivery_id <> '' AND visible AND id < 900
+    f"""WITH {b.ITEMS_SQL}, {DELIVERIES_SQL} SELECT id FROM items WHERE delivery_id <> '' AND visible AND id < (SELECT max(id) * 9 // 10 FROM items)
     AND id NOT IN (SELECT item_id FROM deliveries WHERE consumer = 2) ORDER BY id DESC LIMIT 30""",
 )
 def relay_todo(spark, d):
-    return work.relay_todo(b.items(spark, d), deliveries(spark, d), consumer=2, before_id=900)
+    return work.relay_todo(b.items(spark, d), deliveries(spark, d), consumer=2, before_id=b.cursor(spark, d))
 
 
 @query(

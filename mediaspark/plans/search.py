@@ -57,10 +57,10 @@ def visible_filter(spark, d):
 
 @query(
     "list_page",
-    f"WITH {b.ITEMS_SQL} SELECT id, title FROM items WHERE visible AND kind = 'image' AND id < 900 ORDER BY id DESC LIMIT 48 OFFSET 10",
+    f"WITH {b.ITEMS_SQL} SELECT id, title FROM items WHERE visible AND kind = 'image' AND id < (SELECT max(id) * 9 // 10 FROM items) ORDER BY id DESC LIMIT 48 OFFSET 10",
 )
 def list_page(spark, d):
-    return retrieval.list_page(b.items(spark, d), kind="image", public=True, before_id=900, offset=10).select("id", "title")
+    return retrieval.list_page(b.items(spark, d), kind="image", public=True, before_id=b.cursor(spark, d), offset=10).select("id", "title")
 
 
 @query(
@@ -413,13 +413,14 @@ def inline_page(spark, d):
 
 @query(
     "result_cache_key",
-    r"""WITH log AS (SELECT conv_id * 1000 + turn AS q, CASE WHEN conv_id % 2 = 0 THEN 'image' ELSE '' END AS kind, role AS text FROM conversations)
+    r"""WITH log AS (SELECT conv_id * 1000 + turn AS q, CASE WHEN conv_id % 2 = 0 THEN 'image' ELSE '' END AS kind,
+      trim(regexp_replace(substr(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 200), '\s+', ' ', 'g')) AS text FROM conversations)
     SELECT '1:' || substr(sha256(kind || chr(0) || lower(text)), 1, 32) AS cache_key, min(q) AS q, count(*) AS asked FROM log GROUP BY 1""",
 )
 def result_cache_key(spark, d):
     log = b.table(spark, d, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("q"),
         F.when(F.col("conv_id") % 2 == 0, "image").otherwise("").alias("kind"),
-        F.concat(F.lit("  "), F.upper("role"), F.lit(" ")).alias("text"),
+        F.concat(F.lit("  "), "text", F.lit("\n ")).alias("text"),
     )
     return retrieval.once_per_key(log)

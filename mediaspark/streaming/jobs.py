@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -200,10 +199,10 @@ def ingest_to(posts: DataFrame, table: str):
 
 
 def _stored(spark: SparkSession, table: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(table)
-    except AnalysisException:  # nothing was written yet
-        return None
+    """The table, or None while nothing has been written; any other failure to read it is raised."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(table)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(table) if there else None
 
 
 def counters(events: DataFrame) -> DataFrame:
