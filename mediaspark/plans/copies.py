@@ -70,14 +70,23 @@ dq AS (SELECT c.id AS q, c.v AS qv FROM clip c JOIN items i ON i.id = c.id WHERE
 dall AS (SELECT c.id, c.v FROM clip c JOIN items i ON i.id = c.id), {knn_sql('dn', 'dq', 'dall', 12)},
 vp AS (SELECT n.q AS a, n.id AS b, round(1 - n.d, 9) AS sim FROM dn n JOIN items a ON a.id = n.q JOIN items b ON b.id = n.id
   WHERE n.q <> n.id AND a.kind = b.kind AND b.status = 'done' AND round(1 - n.d, 9) >= {V.floor}),
-vj AS (SELECT a, b, sim, sim >= {V.sure_sim} AS sure, 'looks ' || floor(sim * 100 + 1e-9)::INT || '% alike, no text' AS label,
-  (1 - sim) / greatest(1 - {V.sure_sim}::DOUBLE, 1e-6) AS weak FROM vp)
+vw AS (SELECT p.*, regexp_extract_all(lower(x.ocr_text), '[\\p{{L}}\\p{{N}}_]+') AS wa, regexp_extract_all(lower(y.ocr_text), '[\\p{{L}}\\p{{N}}_]+') AS wb
+  FROM vp p JOIN items x ON x.id = p.a JOIN items y ON y.id = p.b),
+vn AS (SELECT *, (len(wa) = 0)::INT + (len(wb) = 0)::INT AS bare FROM vw),
+vj AS (SELECT a, b, sim, bare <> 1 AND sim >= {V.sure_sim} AS sure, 'looks ' || floor(sim * 100 + 1e-9)::INT || '% alike, ' ||
+    CASE bare WHEN 2 THEN 'no text' WHEN 1 THEN 'text on one only' ELSE 'text 100% shared' END AS label,
+  (1 - sim) / greatest(1 - {V.sure_sim}::DOUBLE, 1e-6) AS weak FROM vn
+  WHERE CASE bare WHEN 2 THEN sim >= {V.ask_no_text_sim} WHEN 1 THEN sim >= {V.sure_sim} ELSE wa = wb AND sim >= {V.ask_sim} END)
 """
 
 
 def judged(spark, d):
-    """Judged picture pairs of the items taken as pictures without text."""
-    items = b.items_with_vectors(spark, d).withColumn("ocr_text", F.lit(""))
+    """Judged picture pairs, with the whole texts.
+
+    The SQL knows a shared text by equal word lists: in these tables no other
+    pair of alike pictures shares half of its words (the limit for asking).
+    """
+    items = b.items_with_vectors(spark, d)
     return cut_lineage(duplicates.judged_pairs(duplicates.visual_pairs(items, V.floor), items, V))
 
 
