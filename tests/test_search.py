@@ -44,6 +44,17 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, ITEM)
 
 
+def test_excluded_words_alone(spark):
+    docs = frame(spark, [item(1, "salt wind"), item(2, "salt marsh"), item(3, "quiet cove"), item(4, "")])
+    q = spark.createDataFrame([(1, "-salt"), (2, '-"salt marsh" -cove'), (3, "cove or -wind"), (4, "salt -wind")], "q bigint, text string")
+    found = {}
+    for r in fulltext.fts_match(docs, q).filter("config = 'simple'").collect():
+        found.setdefault(r.q, set()).add(r.id)
+    assert found == {1: {3, 4}, 2: {1, 4}, 3: {2, 3, 4}, 4: {2}}
+    ranked = fulltext.fts_rank(docs, q).filter("q = 1").orderBy("r").collect()
+    assert [(r.id, r.score) for r in ranked] == [(4, 0.0), (3, 0.0)]
+
+
 def test_full_text_syntax(spark):
     docs = frame(spark, [item(1, "big cats sleeping"), item(2, "sleeping dog cat"), item(3, "quick brown fox"), item(4, "brown quick fox")])
     q = spark.createDataFrame([(1, "cat sleep"), (2, '"quick brown"'), (3, "dog or brown"), (4, "fox -dog"), (5, "sleeping -dog")], "q bigint, text string")
