@@ -1,15 +1,16 @@
 """Substring dedup (8): repeated word windows by level-wise doubling.
 
-Windows of ``size`` words (35) are found over the lengths 9, 18 and 35: only
-what is repeated at one length is extended to twice that length, and only what
-survives at the last length is removed.  The first level looks at anchors:
-every window has one 9-word gram of smallest hash in it, equal windows have
-equal anchors, so a window whose anchor is not repeated is not repeated.  The
-second level looks at 18 words that hold the anchor inside the window, the
-last at the windows themselves.
+Windows of ``size`` words (35) are found over two lengths, 18 and 35: only what
+is repeated at one length is extended to twice that length, and what survives
+there is removed.  The first level looks at anchors: every window has one
+18-word gram of smallest hash in it, equal windows have equal anchors, so a
+window whose anchor is not repeated is not repeated.
+
+Rows with equal texts are known beforehand by a hash of the text: the first of
+them stands for all as proof and every window of theirs is repeated.
 
 Equal hashes meet in one shuffle.  Before it, a task replaces what it has
-itself seen repeated: such rows carry their own proof (``_n`` = 2 under a key
+itself seen repeated: such rows carry their own proof (a count of 2 under a key
 of their own), and the shared key gets one row of evidence, so a passage that
 a third of all documents share arrives as a few rows per task.  Windows of the
 last level are compared by 96 hash bits.
@@ -66,117 +67,94 @@ def selected(words: Words, size: int, gram: int) -> tuple[np.ndarray, np.ndarray
     return at[inside], at[best], value[best]
 
 
-def spread_hash(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the window at every word and whether there is one."""
+def spread_hash(words: Words, size: int) -> np.ndarray:
+    """Hash of the window at every word (0 where there is none)."""
     value, _, at = windows(words, size)
-    out, has = np.zeros(len(words.hash), U), np.zeros(len(words.hash), bool)
-    out[at], has[at] = value, True
-    return out, has
+    out = np.zeros(len(words.hash), U)
+    out[at] = value
+    return out
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(U).view(np.int64)
 
 
-def _anchors(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``_key, _n, _row, _pos, _right, _left``: every anchor with the 18 words from it on and up to its end."""
-    schema = "_key bigint, _n int, _row bigint, _pos int, _right bigint, _left bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        repeats = Repeats()
-        for part, data, offsets in blocks(batches, 1):
-            words = Words(data, offsets)
-            _, at, value = selected(words, size, gram)
-            at, where = np.unique(at, return_index=True)
-            value = value[where]
-            row = part.column(0).to_numpy()[words.doc[at]] if len(at) else np.zeros(0, np.int64)
-            pos = at - words.first[words.doc[at]]
-            double, has = spread_hash(words, 2 * gram)
-            right, no_right = double[at], ~has[at]
-            back = np.maximum(at - gram, 0)
-            left, no_left = double[back], (pos < gram) | ~has[back]
-            key, n, evidence = repeats.split(value, mix(row.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)))
-            k = len(evidence)
-            gone = np.concatenate([np.zeros(len(at), bool), np.ones(k, bool)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([_signed(key), _signed(evidence)])),
-                    pa.array(np.concatenate([n, np.full(k, 2)]).astype(np.int32)),
-                    pa.array(np.concatenate([row, np.zeros(k, np.int64)]), mask=gone),
-                    pa.array(np.concatenate([pos, np.zeros(k, np.int64)]).astype(np.int32), mask=gone),
-                    pa.array(np.concatenate([_signed(right), np.zeros(k, np.int64)]), mask=np.concatenate([no_right, np.ones(k, bool)])),
-                    pa.array(np.concatenate([_signed(left), np.zeros(k, np.int64)]), mask=np.concatenate([no_left, np.ones(k, bool)])),
-                ],
-                [c.split()[0] for c in schema.split(", ")],
-            )
+def second_hash(words: Words, start: np.ndarray, size: int) -> np.ndarray:
+    """31 more bits of each window, from another mix of its words."""
+    out = np.zeros(len(start), U)
+    for k in range(size):
+        out += mix(words.hash[start + k] + U(k + 1))
+    return (out >> U(33)).astype(np.int32)
 
-    return docs.mapInArrow(run, schema)
 
+#: flags a place whose window is known to be repeated
+PROVED = 1 << 30
 
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows whose keys count at least twice; rows of evidence end here."""
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    return rows.withColumn("_total", total).filter((F.col("_total") > 1) & F.col("_row").isNotNull())
 
+def _level(rows: DataFrame, size: int, gram: int, live: bool) -> DataFrame:
+    """``_key, _check, _row, _pos``: anchors, or with ``live`` the windows over live anchors.
 
-def _windows(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    """``_key, _check, _n, _row, _pos``: the windows of rows with ``_live`` anchors (2 x place, + 1 for the left side)."""
-    schema = "_key bigint, _check int, _n int, _row bigint, _pos int"
+    A place of ``PROVED`` or more counts twice.  Rows without ``_row`` are
+    evidence only; the first of equal texts gives nothing else.
+    """
+    schema = "_key bigint, _check int, _row bigint, _pos int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         repeats = Repeats()
         for part, data, offsets in blocks(batches, 1):
             words = Words(data, offsets)
-            start, at, _ = selected(words, size, gram)
-            live = part.column(2)
-            live_row = np.repeat(np.arange(part.num_rows), np.diff(live.offsets.to_numpy()))
-            values = live.flatten().to_numpy()
-            alive = np.zeros((len(words.hash) + 1, 2), bool)
-            alive[words.first[live_row] + values // 2, values % 2] = True
-            keep = alive[at, (at - start > size - 2 * gram).astype(int)]
-            start = start[keep]
-            full, _ = spread_hash(words, size)
-            row = part.column(0).to_numpy()[words.doc[start]] if len(start) else np.zeros(0, np.int64)
-            pos = start - words.first[words.doc[start]]
-            # the second hash sees every word by itself, so that 96 bits have to agree
-            second = np.zeros(len(start), U)
-            for k in range(size):
-                second += mix(words.hash[start + k] + U(k + 1))
-            check = (second >> U(33)).astype(np.int32)
-            value = full[start]
-            key, n, evidence = repeats.split(value, mix(row.astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(U)))
-            k = len(evidence)
-            of = np.zeros(k, np.int32)
-            if k:
+            start, anchor, value = selected(words, size, gram)
+            ids, twin = part.column(0).to_numpy(), part.column(3).fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            if live:
+                listed = part.column(4).fill_null([])
+                alive = np.zeros(len(words.hash) + 1, bool)
+                alive[words.first[np.repeat(np.arange(part.num_rows), np.diff(listed.offsets.to_numpy()))] + listed.flatten().to_numpy()] = True
+                start = start[alive[anchor] | twin[words.doc[start]]] if len(start) else start
+                value = spread_hash(words, size)[start]
+                check = second_hash(words, start, size)
+            else:
+                start, where = np.unique(anchor, return_index=True)
+                value, check = value[where], np.zeros(len(where), np.int32)
+            doc = words.doc[start]
+            pos = start - words.first[doc]
+            own = mix(ids[doc].astype(U) * U(0x9E3779B97F4A7C15) + pos.astype(U))
+            whole = twin[doc] if len(doc) else np.zeros(0, bool)
+            key, n, evidence = repeats.split(value[~whole], own[~whole])
+            of = np.zeros(len(evidence), np.int32)
+            if len(evidence):
                 order = np.argsort(value, kind="stable")
                 of = check[order[np.searchsorted(value[order], evidence)]]
-            gone = np.concatenate([np.zeros(len(start), bool), np.ones(k, bool)])
+            # proofs: hashes repeated in this task, and all of a text that has copies
+            known, which = np.unique(value[whole], return_index=True)
+            proof, proof_check = np.concatenate([evidence, known]), np.concatenate([of, check[whole][which]])
+            k = len(proof)
+            gone = np.concatenate([np.zeros(len(key), bool), np.ones(k, bool)])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([_signed(key), _signed(evidence)])),
-                    pa.array(np.concatenate([check, of])),
-                    pa.array(np.concatenate([n, np.full(k, 2)]).astype(np.int32)),
-                    pa.array(np.concatenate([row, np.zeros(k, np.int64)]), mask=gone),
-                    pa.array(np.concatenate([pos, np.zeros(k, np.int64)]).astype(np.int32), mask=gone),
+                    pa.array(np.concatenate([_signed(key), _signed(proof)])),
+                    pa.array(np.concatenate([check[~whole], proof_check]).astype(np.int32)),
+                    pa.array(np.concatenate([ids[doc[~whole]], np.zeros(k, np.int64)]), mask=gone),
+                    pa.array((np.concatenate([pos[~whole], np.zeros(k, np.int64)]) + np.concatenate([np.where(n > 1, PROVED, 0), np.full(k, PROVED)])).astype(np.int32)),
                 ],
                 [c.split()[0] for c in schema.split(", ")],
             )
 
-    return docs.select("_row", "text", "_live").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def repeated_windows(rows: DataFrame, size: int = SIZE) -> DataFrame:
-    """``_row, _pos`` of every window of ``size`` words whose words also start anywhere else.
+def _repeated(rows: DataFrame) -> DataFrame:
+    """``_row`` and the places whose keys count at least twice; evidence ends here."""
+    total = F.sum(F.when(F.col("_pos") >= PROVED, 2).otherwise(1)).over(Window.partitionBy("_key", "_check"))
+    found = rows.withColumn("_total", total).filter((F.col("_total") > 1) & F.col("_row").isNotNull())
+    return found.groupBy("_row").agg(F.collect_list((F.col("_pos") % PROVED).cast("int")).alias("_list"))
 
-    ``rows``: a unique ``_row`` and the text.
-    """
-    gram = (size + 1) // 4
-    first = _repeated(_anchors(rows, size, gram), "_key")
-    sides = first.select("_row", "_pos", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("_right").alias("key")), F.struct(F.lit(1).alias("side"), F.col("_left").alias("key")))).alias("_s"))
-    sides = sides.select("_row", (F.col("_pos") * 2 + F.col("_s.side")).alias("_at"), F.col("_s.key").alias("_key")).filter("_key is not null")
-    double = sides.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_key")
-    live = sides.join(double, "_key").groupBy("_row").agg(F.collect_list("_at").alias("_live"))
-    return _repeated(_windows(rows.join(live, "_row"), size, gram), "_key", "_check").select("_row", "_pos")
+
+def _twins(rows: DataFrame) -> DataFrame:
+    """``_row, _first`` of the rows whose text has copies; ``_first`` marks the one that stands for them."""
+    text = F.coalesce("text", F.lit(""))
+    hashed = rows.select("_row", F.xxhash64(text).alias("_h"), F.xxhash64(F.lit(1), text).alias("_i"))
+    groups = hashed.groupBy("_h", "_i").agg(F.min("_row").alias("_least"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    return hashed.join(groups, ["_h", "_i"]).select("_row", (F.col("_row") == F.col("_least")).alias("_first"))
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -> DataFrame:
@@ -189,9 +167,13 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -
     readable again in the same order (a table).
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
-    texts = rows.select("_row", "text")
-    found = repeated_windows(texts, size).groupBy("_row").agg(F.collect_list("_pos").alias("_found"))
-    joined = rows.select("_row", "text", "doc_id").join(found, "_row", "left")
+    # one shuffle of the texts by row serves both levels and the result
+    base = rows.join(_twins(rows), "_row", "left").select("_row", "text", "doc_id", "_first")
+    once = base.filter("_first is null or _first")
+    gram = (size + 1) // 2
+    live = _repeated(_level(once, size, gram, False))
+    found = _repeated(_level(once.join(live, "_row", "left").filter("_first or _list is not null"), size, gram, True))
+    joined = base.join(found, "_row", "left")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string" + (", text string" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,12 +181,14 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -
             words = Words(data, offsets)
             counts = np.diff(words.first)
             gone = np.zeros(len(words.hash) + 1, np.int64)
-            found = part.column(3).fill_null([])
+            found = part.column(4).fill_null([])
             row = np.repeat(np.arange(part.num_rows), np.diff(found.offsets.to_numpy()))
             start = words.first[row] + found.flatten().to_numpy()
             np.add.at(gone, start, 1)
             np.add.at(gone, start + size, -1)
             covered = np.cumsum(gone)[:-1] > 0
+            copied = ~np.array(part.column(3).is_null()) & (counts >= size)  # every window of a copy is repeated
+            covered |= copied[words.doc] if len(covered) else covered
             raw = data.tobytes()
             removed = np.add.reduceat(np.concatenate([covered, [False]]), words.first[:-1], dtype=np.int64) * (counts > 0)
             kept = []
@@ -217,4 +201,4 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, with_text: bool = False) -
                 arrays.append(pa.array([k.decode() for k in kept], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in schema.split(", ")])
 
-    return joined.select("_row", "text", "doc_id", "_found").mapInArrow(run, schema)
+    return joined.select("_row", "text", "doc_id", "_first", "_list").mapInArrow(run, schema)
