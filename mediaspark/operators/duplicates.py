@@ -27,18 +27,29 @@ def is_video() -> Column:
     return F.col("kind") == "video"
 
 
-def _bands(rows: DataFrame, distance: int) -> DataFrame:
-    """One row per band of the hash; two hashes within ``distance`` share a band.
+def _bands(rows: DataFrame, distance: int, around: bool = False) -> DataFrame:
+    """One row per band of the hash, with ``around`` also one per bit turned in it.
 
-    256 bits are cut into ``distance + 1`` bands: that many differences cannot
-    touch every band, so nothing within the distance is missed.
+    256 bits are cut into ``distance // 2 + 1`` bands (7 of 36 or 37 bits for
+    distance 12).  Among two hashes within the distance one band has at most
+    one difference, so a key meets an exact key or one of its one-bit
+    neighbours: nothing is missed, and long bands keep buckets nearly single.
     """
-    edges = [HASH_BITS * i // (distance + 1) for i in range(distance + 2)]
+    count = distance // 2 + 1
+    edges = [HASH_BITS * i // count for i in range(count + 1)]
     keys = [
-        F.struct(F.lit(i).alias("band"), F.substring("bits", a + 1, b - a).alias("key"))
+        F.struct(
+            F.lit(i).alias("band"),
+            F.lit(b - a).alias("width"),
+            F.conv(F.substring("bits", a + 1, b - a), 2, 10).cast("bigint").alias("key"),
+        )
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))
     ]
-    return rows.withColumn("bits", hash_text("phash")).select("*", F.inline(F.array(*keys))).drop("bits")
+    bands = rows.withColumn("bits", hash_text("phash")).select("*", F.inline(F.array(*keys))).drop("bits")
+    if around:
+        turned = F.expr("explode(concat(array(key), transform(sequence(0, width - 1), i -> key ^ shiftleft(1L, i))))")
+        bands = bands.withColumn("turned", turned).withColumn("key", F.col("turned")).drop("turned")
+    return bands.drop("width")
 
 
 def near_hashes(hashes: DataFrame, distance: int = DISTANCE, hot_bucket: int = HOT_BUCKET) -> DataFrame:
@@ -55,7 +66,7 @@ def near_between(
 ) -> DataFrame:
     """Pairs of a left and a right hash within ``distance``; crowded buckets go tile by tile."""
     keys = ["video", "band", "key"]
-    lb = _bands(left.select("video", F.col("rep").alias("a"), "phash"), distance)
+    lb = _bands(left.select("video", F.col("rep").alias("a"), "phash"), distance, around=True)
     rb = _bands(right.select("video", F.col("rep").alias("b"), "phash"), distance)
     hot = hot_keys(rb, keys, hot_bucket).select(*keys)
     crowded = not fits(hot, 0)
