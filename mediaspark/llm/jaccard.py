@@ -6,12 +6,14 @@ shingle).  Documents with equal sets are one class and only classes are joined.
 Every class samples tokens by hash, the same token for all who have it: about
 ``STARTS`` of them begin a path each (as many independent runs of the chosen
 path recursion at once).  Classes on the same path form a bucket.  A bucket of
-more than ``BUCKET`` members is split again: its members extend the path by
+more than ``BUCKET`` members is split again (for members with fewer than
+``ENOUGH`` other runs, or with all but a fifth of a small set in such buckets;
+the others find their partners there): its members extend the path by
 about ``BRANCH`` tokens sampled under that path, until buckets are small, or
 so alike on average that splitting cannot help, or ``DEPTH`` is reached.  For
 a pair at the threshold about 0.8 x STARTS first tokens are shared and each
 survives the splits with a chance of at least 0.68, so a pair is missed with a
-chance below e^(-13), the target recall.  Buckets are compared in full, large
+chance below e^(-11), the target recall.  Buckets are compared in full, large
 ones in tiles; none is dropped or capped.
 
 Inside a bucket, members can only be similar if their sizes allow it and the
@@ -30,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.duplicates import components as connected
 from ..session import cut_lineage
+from .graph import connected
 from .names import all_of, unused
 from .tiles import Overlaps, components, group_ids, runs, tiled
 from .words import U, Words, blocks, lists, mix, salted, sets, windows
@@ -42,9 +44,9 @@ SAMPLE = 48
 BRANCH = 2
 BUCKET = 256
 DEPTH = 3
+ENOUGH = 16
 ALIKE = 0.5
 DENSE = 4096
-PROBE = 8
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -95,6 +97,11 @@ def _share(value: Column) -> Column:
     return F.shiftrightunsigned(value, 1) / float(2**63)
 
 
+def _place(token: Column) -> Column:
+    """A token, an unsigned value kept as signed, as a place in 0..1."""
+    return F.when(token < 0, token / float(2**64) + 1).otherwise(token / float(2**64))
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """Rows of paths with at least two members, with the member count."""
     size = rows.groupBy("_path").agg(F.count(F.lit(1)).alias("_members")).filter("_members > 1")
@@ -104,26 +111,33 @@ def _counted(rows: DataFrame) -> DataFrame:
 def _leaves(classes: DataFrame) -> DataFrame:
     """``_path, _class`` of all final buckets."""
     # a token is kept among the starts if its place in the hash range is below STARTS / n
-    place = F.when(F.col("_t") < 0, F.col("_t") / float(2**64) + 1).otherwise(F.col("_t") / float(2**64))
     tokens = classes.filter("_n > 0").select("_class", "_n", F.explode("_sample").alias("_t"))
-    rows = tokens.filter((F.col("_n") <= STARTS) | (place * F.col("_n") < STARTS)).select(F.col("_t").alias("_path"), "_class")
+    rows = tokens.filter((F.col("_n") <= STARTS) | (_place(F.col("_t")) * F.col("_n") < STARTS)).select(F.col("_t").alias("_path"), "_class")
     done = []
     for depth in range(DEPTH + 1):
         rows = cut_lineage(_counted(rows))
         done.append(rows.filter(F.col("_members") <= BUCKET).select("_path", "_class"))
         large = rows.filter(F.col("_members") > BUCKET)
+        if depth == 0:
+            # runs that end in small buckets already give the recall of most classes; the others follow their large ones
+            hot = large.groupBy("_class").agg(F.count(F.lit(1)).alias("_hot"))
+            starts = F.when(F.col("_n") <= STARTS, F.col("_n")).otherwise(F.size(F.filter("_sample", lambda t: _place(t) * F.col("_n") < STARTS)))
+            few = F.when(F.col("_n") <= STARTS, F.col("_hot") * 5 >= F.col("_n") * 4).otherwise(starts - F.col("_hot") < ENOUGH)
+            needy = classes.select("_class", "_n", "_sample").join(hot, "_class").filter(few).select("_class")
+            large = cut_lineage(large.join(needy, "_class", "left_semi"))
         if depth == DEPTH or large.isEmpty():
             done.append(large.select("_path", "_class"))
             break
         large = large.join(classes.select("_class", "_sample"), "_class")
-        # average share of a bucket that has a member's probe token: a sum over tokens, not over pairs
-        probe = large.select("_path", "_members", F.explode(F.slice("_sample", -F.least(F.size("_sample"), F.lit(PROBE)), PROBE)).alias("_t"))
-        met = probe.groupBy("_path", "_t", "_members").agg(F.count(F.lit(1)).alias("_k"))
-        alike = met.groupBy("_path").agg((F.sum(F.col("_k") * F.col("_k")) / F.sum("_k") / F.first("_members")).alias("_alike"))
-        large = large.join(alike, "_path")
+        # average share of a bucket that has a member's last sampled token (starts are first ones): a sum over tokens, not over pairs
+        probe = large.select("_path", F.element_at("_sample", -1).alias("_t"))
+        met = probe.groupBy("_path", "_t").agg(F.count(F.lit(1)).alias("_k"))
+        alike = met.groupBy("_path").agg((F.sum(F.col("_k") * F.col("_k")) / F.sum("_k") / F.sum("_k")).alias("_alike"))
+        large = cut_lineage(large.join(alike, "_path").select("_path", "_class", "_alike"))
         done.append(large.filter(F.col("_alike") >= ALIKE).select("_path", "_class"))
         chosen = F.filter("_sample", lambda t: _share(F.xxhash64(t, F.col("_path"))) * F.size("_sample") < BRANCH)
-        rows = large.filter(F.col("_alike") < ALIKE).select("_class", "_path", F.explode(chosen).alias("_t")).select(F.xxhash64("_path", "_t").alias("_path"), "_class")
+        large = large.filter(F.col("_alike") < ALIKE).join(classes.select("_class", "_sample"), "_class")
+        rows = large.select("_class", "_path", F.explode(chosen).alias("_t")).select(F.xxhash64("_path", "_t").alias("_path"), "_class")
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -195,28 +209,40 @@ def _links(groups: DataFrame, members: DataFrame, num: int = 4, den: int = 5) ->
             listed = [np.array(x, np.int64) for x in table.column("_gids").to_pylist()]
             out: list[tuple[int, int, int]] = []
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                sizes = np.array([len(t) for t in tokens[a:b]])
-                overlaps = Overlaps(np.concatenate(tokens[a:b]), np.concatenate(([0], np.cumsum(sizes))))
-                before = [x[: int(np.flatnonzero(x == gid[a])[0])] for x in listed[a:b]]
-                cross = left[a] != right[a]
-                total = np.zeros(b - a, np.int64)
+                here, m = gid[a], b - a
+                # members with the same first group have met there, unless it is this one: sort them side by side
+                leader = np.array([x[0] for x in listed[a:b]], np.int64)
+                order = np.argsort(leader, kind="stable")
+                leader, at = leader[order], order + a
+                after = np.searchsorted(leader, leader, "right")
+                after = np.where(leader == here, np.arange(m) + 1, after)
+                own_tokens, own_groups = [tokens[k] for k in at], [listed[k] for k in at]
+                sizes = np.array([len(t) for t in own_tokens])
+                overlaps = Overlaps(np.concatenate(own_tokens), np.concatenate(([0], np.cumsum(sizes))))
+                shared = Overlaps(np.concatenate(own_groups), np.concatenate(([0], np.cumsum([len(x) for x in own_groups]))))
+                cross, weight, side = left[a] != right[a], copies[at], tile[at]
+                total = np.zeros(m, np.int64)
                 one, two = [], []
-                for i in range(b - a - 1):
-                    hits = overlaps.of(i, slice(i + 1, b - a))
-                    similar = (num + den) * hits >= num * (sizes[i + 1 :] + sizes[i])
+                for i in range(m):
+                    if after[i] == m:
+                        continue
+                    others = slice(int(after[i]), m)
+                    similar = (num + den) * overlaps.of(i, others) >= num * (sizes[others] + sizes[i])
                     if cross:
-                        similar &= tile[a + i + 1 : b] != tile[a + i]
-                    at = np.flatnonzero(similar) + i + 1
-                    if not len(at):
+                        similar &= side[others] != side[i]
+                    found = np.flatnonzero(similar)
+                    if not len(found):
                         continue
-                    one.append(np.full(len(at), i))
-                    two.append(at)
-                    if len(before[i]):  # pairs that share an earlier group were counted there
-                        at = at[[not np.isin(before[i], listed[a + j]).any() for j in at]]
-                    total[i] += copies[a + at].sum()
-                    total[at] += copies[a + i]
-                label = components(b - a, np.concatenate(one or [np.zeros(0, int)]), np.concatenate(two or [np.zeros(0, int)]))
-                out += [(int(own[a + i]), int(own[a + label[i]]), int(total[i])) for i in np.flatnonzero((total > 0) | (label != np.arange(b - a)))]
+                    one.append(np.full(len(found), i))
+                    two.append(found + others.start)
+                    before = int(np.flatnonzero(own_groups[i] == here)[0])
+                    if before:  # pairs that share an earlier group were counted there
+                        found = found[shared.of(i, others, before)[found] == 0]
+                    found = found + others.start
+                    total[i] += weight[found].sum()
+                    total[found] += weight[i]
+                label = components(m, np.concatenate(one or [np.zeros(0, int)]), np.concatenate(two or [np.zeros(0, int)]))
+                out += [(int(own[at[i]]), int(own[at[label[i]]]), int(total[i])) for i in np.flatnonzero((total > 0) | (label != np.arange(m)))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], ["_class", "_root", "_links"])
 
     rows = tiled(groups, "_class").join(members, "_class").repartition("_gid", "_a", "_b").sortWithinPartitions("_gid", "_a", "_b")

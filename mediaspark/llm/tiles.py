@@ -19,10 +19,10 @@ from .words import U, mix
 TILE = 1024
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int = 20_000) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int = 20_000, shift: int = 0) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Sorted rows as tables of whole groups, with the places where groups begin and end.
 
-    Groups are rows with equal first ``keys`` columns (bigint).
+    Groups are rows with equal first ``keys`` columns (bigint), without their lowest ``shift`` bits.
     """
     held: list[pa.RecordBatch] = []
     rows = 0
@@ -32,7 +32,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int, limit: int = 20_000) -> I
         new = np.zeros(n, bool)
         new[:1] = True
         for k in range(keys):
-            v = table.column(k).to_numpy()
+            v = table.column(k).to_numpy() >> shift
             new[1:] |= v[1:] != v[:-1]
         return np.append(np.flatnonzero(new), n)
 
@@ -94,9 +94,9 @@ class Overlaps:
         distinct, self.ids = np.unique(flat, return_inverse=True)
         self.first, self.mark = first, np.zeros(len(distinct), bool)
 
-    def of(self, i: int, places: slice | None = None) -> np.ndarray:
-        """With all sets, or with those of a slice of places."""
-        own = self.ids[self.first[i] : self.first[i + 1]]
+    def of(self, i: int, places: slice | None = None, head: int | None = None) -> np.ndarray:
+        """With all sets, or with those of a slice of places; of set ``i`` all tokens, or the first ``head``."""
+        own = self.ids[self.first[i] : self.first[i + 1]][:head]
         self.mark[own] = True
         a, b = (places.start, places.stop) if places else (0, len(self.first) - 1)
         low = self.first[a]

@@ -130,7 +130,8 @@ def windows(words: Words, size: int, short: bool = False) -> tuple[np.ndarray, n
 
 def sets(value: np.ndarray, doc: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each row, ascending, and the n + 1 places where rows begin."""
-    order = np.lexsort((value, doc))
+    # a block has under 2^22 rows; 42 bits of the value order it within a row
+    order = np.argsort((doc.astype(U) << U(42)) | (value >> U(22)))
     value, doc = value[order], doc[order]
     keep = np.ones(len(value), bool)
     keep[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
