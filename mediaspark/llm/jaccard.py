@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .graph import connected
 from .names import all_of, unused
-from .tiles import Overlaps, components, group_ids, runs, tiled
+from .tiles import Overlaps, components, group_ids, outermost, runs, tiled
 from .words import U, Words, blocks, lists, mix, salted, sets, windows
 
 SHINGLE = 5
@@ -175,13 +175,7 @@ def _groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     own = classes.select("_class", "_n", F.size("_sample").alias("_s"), "_map0", "_map1")
     rows = leaves.join(own, "_class").select("_path", "_n", "_class", "_s", "_map0", "_map1")
     found = rows.repartition("_path").sortWithinPartitions("_path", "_n", "_class").mapInArrow(run, schema).distinct()
-    found = cut_lineage(found)
-    # the first group of a member in the order (largest, then id); a group whose members share another first group lies inside it
-    order = F.struct((-F.col("_size")).alias("_rank"), F.col("_gid"))
-    first = found.groupBy("_class").agg(F.min(order).alias("_f"))
-    spans = found.join(first, "_class").groupBy("_gid", "_size").agg(F.min("_f").alias("_lo"), F.max("_f").alias("_hi"))
-    inside = (F.col("_lo") == F.col("_hi")) & (F.col("_lo")["_gid"] != F.col("_gid"))
-    return found.join(spans.filter(~inside).select("_gid"), "_gid")
+    return outermost(cut_lineage(found))
 
 
 def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:

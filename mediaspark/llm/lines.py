@@ -25,16 +25,19 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .names import all_of, unused
-from .tiles import Overlaps, components, group_ids, runs, tiled
+from .tiles import Overlaps, components, group_ids, outermost, runs, tiled
 from .words import U, Words, blocks, mix, salted
 
 MIN_WORDS = 5
 BUCKETS = 1 << 18
 DENSE = 4096
+LARGE = 48
+MOST = 2**18 - 1
+FILTER_BITS = 1 << 27
 
 
-def word_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words over all texts in ``BUCKETS`` hashed buckets (1 MB at the driver, whatever the corpus)."""
+def word_ranks(docs: DataFrame) -> np.ndarray:
+    """Ranks, rarest first, of the ``BUCKETS`` hashed buckets by occurrences over all texts (2 MB, whatever the corpus)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -46,14 +49,16 @@ def word_counts(docs: DataFrame) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     counts = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").cast("bigint").alias("n")).toArrow()
     out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
-    return np.minimum(out, 2**31 - 1).astype(np.int32)
+    ranks = np.empty(BUCKETS, U)
+    ranks[np.argsort(out, kind="stable")] = np.arange(BUCKETS, dtype=U)
+    return ranks
 
 
 class LineSets:
     """Distinct words of every line of a block of texts, lines of too few words left out.
 
     ``row`` and ``line`` name the lines, ``first`` has the places where the
-    words of a line begin in ``word``; words ascend by ``rank`` (if given) and hash.
+    words of a line begin in ``word``; words ascend by the ``rank`` of their bucket (if given) and hash.
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray | None = None, least: int = MIN_WORDS):
@@ -61,7 +66,10 @@ class LineSets:
         breaks = np.flatnonzero(data == 10)
         line = words.doc + np.searchsorted(breaks, words.start)  # a new number for every line of every text
         head = np.arange(len(offsets) - 1) + np.searchsorted(breaks, offsets[:-1])
-        order = np.lexsort((words.hash, line))
+        # one sort key: the line (under 2^22 in a block), the rank of the word's bucket, more bits of the word
+        bucket = (words.hash >> U(46)).astype(np.int64)
+        by = (rank if rank is not None else np.arange(BUCKETS, dtype=U))[bucket] if len(bucket) else bucket.astype(U)
+        order = np.argsort((line.astype(U) << U(42)) | (by << U(24)) | ((words.hash >> U(22)) & U(0xFFFFFF)))
         word, line, doc = words.hash[order], line[order], words.doc[order]
         keep = np.ones(len(word), bool)
         keep[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])
@@ -69,9 +77,6 @@ class LineSets:
         size = np.bincount(line, minlength=1)[line] if len(line) else line
         keep = size >= least
         word, line, doc = word[keep], line[keep], doc[keep]
-        if rank is not None and len(word):
-            order = np.lexsort((word, rank[(word >> U(46)).astype(np.int64)], line))
-            word = word[order]
         start = np.ones(len(line), bool)
         start[1:] = line[1:] != line[:-1]
         at = np.flatnonzero(start)
@@ -107,8 +112,13 @@ def _lines(rows: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, rank: np.ndarray) -> DataFrame:
-    """``_word, _n, _class, _at, _map``: prefix words of the classes; a task sends an equal line of a block once."""
-    schema = "_word bigint, _n int, _class bigint, _at int, _map bigint"
+    """``_key, _class, _map0, _map1``: prefix words of the classes; a task sends an equal line of a block once.
+
+    A key is 32 bits of the word, the size (18 bits) and the place (14 bits);
+    what does not fit is set so that the filters let it pass.  The second half
+    of the symbol map is only used for larger sets.
+    """
+    schema = "_key bigint, _class bigint, _map0 bigint, _map1 bigint"
     known = rows.sparkSession.sparkContext.broadcast(rank)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,20 +126,25 @@ def _prefixes(rows: DataFrame, rank: np.ndarray) -> DataFrame:
         for _, data, offsets in blocks(batches, 0):
             sets = LineSets(data, offsets, known.value)
             own = sets.classes()
-            symbols = np.bitwise_or.reduceat(U(1) << (salted(sets.word, 6) & U(63)), sets.first[:-1]) if len(own) else np.zeros(0, U)
+            bit = salted(sets.word, 6)
+            upper = (bit & U(64) != 0) & (np.repeat(sets.size, sets.size) >= LARGE)
+            bit = U(1) << (bit & U(63))
+            maps = [np.bitwise_or.reduceat(np.where(part, bit, U(0)), sets.first[:-1]) if len(own) else np.zeros(0, U) for part in (~upper, upper)]
             _, at = np.unique(own, return_index=True)
             at = at[~np.isin(own[at], seen)]
             seen = np.union1d(seen, own[at]) if len(seen) < 500_000 else np.sort(own[at])
             count = sets.size[at] - -(-4 * sets.size[at] // 5) + 1
             spread = np.repeat(at, count)
             place = np.arange(len(spread)) - np.repeat(np.cumsum(count) - count, count)
+            word = sets.word[sets.first[spread] + place] >> U(32)
+            size = np.minimum(sets.size[spread], MOST)
+            place = np.where(size == MOST, 0, np.minimum(place, 2**14 - 1))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array((sets.word[sets.first[spread] + place] >> U(24)).view(np.int64)),
-                    pa.array(sets.size[spread].astype(np.int32)),
+                    pa.array(((word << U(32)) | (size.astype(U) << U(14)) | place.astype(U)).view(np.int64)),
                     pa.array(own[spread]),
-                    pa.array(place.astype(np.int32)),
-                    pa.array(symbols[spread].view(np.int64)),
+                    pa.array(maps[0][spread].view(np.int64)),
+                    pa.array(maps[1][spread].view(np.int64)),
                 ],
                 [c.split()[0] for c in schema.split(", ")],
             )
@@ -142,11 +157,14 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     schema = "_gid bigint, _size bigint, _class bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, at in runs(batches, 1):
-            word, n, own, place, symbols = (table.column(i).to_numpy() for i in range(5))
-            keep = np.ones(len(word), bool)
-            keep[1:] = (word[1:] != word[:-1]) | (own[1:] != own[:-1])
-            word, n, own, place, symbols = word[keep], n[keep].astype(np.int64), own[keep], place[keep], symbols[keep].view(U)
+        for table, _ in runs(batches, 1, shift=32):
+            key, own, low, high = (table.column(i).to_numpy() for i in range(4))
+            keep = np.ones(len(key), bool)
+            keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+            key, own, low, high = key[keep], own[keep], low[keep].view(U), high[keep].view(U)
+            word, n, place = key >> 32, (key >> 14) & MOST, key & (2**14 - 1)
+            large = n >= LARGE
+            folded = low | high
             if not len(word):
                 continue
             size = np.diff(np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)))
@@ -160,7 +178,13 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
                 live, other = live[ok], other[ok]
                 both = n[live] + n[other]
                 room = 1 + np.minimum(n[live] - 1 - place[live], n[other] - 1 - place[other])
-                fits = (9 * room >= 4 * both) & (9 * np.bitwise_count(symbols[live] ^ symbols[other]).astype(np.int64) <= both)
+                full = large[live] & large[other]  # else both maps are read as one half
+                differ = np.where(
+                    full,
+                    np.bitwise_count(low[live] ^ low[other]).astype(np.int64) + np.bitwise_count(high[live] ^ high[other]),
+                    np.bitwise_count(folded[live] ^ folded[other]),
+                )
+                fits = (9 * room >= 4 * both) & (9 * differ <= both)
                 fits |= dense[live]  # a crowded word: neighbours in length stay together, tiles compare them
                 edges_a.append(live[fits])
                 edges_b.append(other[fits])
@@ -170,25 +194,41 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
             places, gid, count = group_ids(own, label)
             yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(count), pa.array(own[places])], ["_gid", "_size", "_class"])
 
-    shuffled = prefixes.repartition("_word").sortWithinPartitions("_word", "_n", "_class")
+    shuffled = prefixes.repartition(F.shiftrightunsigned("_key", 32)).sortWithinPartitions("_key", "_class")
     return shuffled.mapInArrow(run, schema).distinct()
 
 
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """A hashed bit set of the wanted classes: at most 16 MB, whatever their number.
+
+    It only spares the shuffle of sets that are not wanted; a join follows.
+    """
+    place = F.pmod(F.col("_class"), F.lit(FILTER_BITS))
+    bits = wanted.select(F.shiftright(place, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(_class, 64) as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
 def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``_class, _doc, _row, _line, _words`` of the wanted first lines of classes."""
+    """``_class, _doc, _row, _line, _words`` of the lines that may belong to the wanted classes."""
     schema = "_class bigint, _doc bigint, _row bigint, _line int, _words binary"
-    by_row = wanted.groupBy("_row").agg(F.collect_set("_line").alias("_wanted"))
+    known = rows.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, 1):
             sets = LineSets(data, offsets)
-            lines = part.column(3)
-            asked = np.repeat(np.arange(part.num_rows), np.diff(lines.offsets.to_numpy())) << 32 | lines.flatten().to_numpy()
-            at = np.flatnonzero(np.isin(sets.row << 32 | sets.line, asked))
+            own = sets.classes()
+            at = np.flatnonzero((known.value[(own % FILTER_BITS) >> 6] >> (own % 64)) & 1)
+            # the first line of a class in a block will do
+            _, first = np.unique(own[at], return_index=True)
             doc = part.column(2).fill_null(2**63 - 1).to_numpy()
+            order = np.lexsort((sets.line[at], part.column(0).to_numpy()[sets.row[at]], doc[sets.row[at]], own[at]))
+            at = at[order][np.unique(own[at][order], return_index=True)[1]] if len(first) < len(at) else at
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(sets.classes()[at]),
+                    pa.array(own[at]),
                     pa.array(doc[sets.row[at]]),
                     pa.array(part.column(0).to_numpy()[sets.row[at]]),
                     pa.array(sets.line[at].astype(np.int32)),
@@ -197,7 +237,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
                 [c.split()[0] for c in schema.split(", ")],
             )
 
-    return rows.join(by_row, "_row").select("_row", "text", "doc_id", "_wanted").mapInArrow(run, schema)
+    return rows.select("_row", "text", "doc_id").mapInArrow(run, schema)
 
 
 def _late(groups: DataFrame, sets: DataFrame) -> DataFrame:
@@ -231,12 +271,13 @@ def _late(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _removed(rows: DataFrame) -> DataFrame:
     """``_row, _gone``: the numbers of the lines to remove, for rows that have any."""
-    prefixes = _prefixes(rows, word_counts(rows))
-    groups = cut_lineage(_candidates(prefixes))
-    lines = _lines(rows)
+    prefixes = _prefixes(rows, word_ranks(rows))
+    groups = cut_lineage(outermost(cut_lineage(_candidates(prefixes))))
+    lines = cut_lineage(_lines(rows))
     classes = cut_lineage(lines.groupBy("_class").agg(F.min(F.struct("_doc", "_row", "_line")).alias("_first"), F.count(F.lit(1)).alias("_n")))
-    wanted = classes.join(groups.select("_class").distinct(), "_class").select("_first.*")
-    late = _late(groups, _sets(rows, wanted)).withColumn("_late", F.lit(True))
+    wanted = groups.select("_class").distinct()
+    firsts = classes.join(wanted, "_class").select("_class", "_first.*")
+    late = _late(groups, _sets(rows, wanted).join(firsts, ["_class", "_doc", "_row", "_line"])).withColumn("_late", F.lit(True))
     judged = classes.join(late, "_class", "left").filter("_n > 1 or _late")
     gone = lines.join(judged, "_class").filter(F.coalesce("_late", F.lit(False)) | (F.struct("_doc", "_row", "_line") > F.col("_first")))
     return gone.groupBy("_row").agg(F.sort_array(F.collect_list("_line")).alias("_gone"))

@@ -78,6 +78,18 @@ def group_ids(members: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, mix(total[label[at]] ^ size[label[at]].astype(U)).view(np.int64), size[label[at]]
 
 
+def outermost(groups: DataFrame) -> DataFrame:
+    """``groups`` (``_gid``, ``_size``, ``_class``) without those whose members all share another first group.
+
+    The first group of a member is its largest (then by id); such a group lies
+    inside it, and the pairs are compared there.
+    """
+    first = groups.groupBy("_class").agg(F.min(F.struct((-F.col("_size")).alias("_rank"), F.col("_gid"))).alias("_f"))
+    spans = groups.join(first, "_class").groupBy("_gid", "_size").agg(F.min("_f").alias("_lo"), F.max("_f").alias("_hi"))
+    inside = (F.col("_lo") == F.col("_hi")) & (F.col("_lo")["_gid"] != F.col("_gid"))
+    return groups.join(spans.filter(~inside).select("_gid"), "_gid")
+
+
 def tiled(groups: DataFrame, member: str, tile: int = TILE) -> DataFrame:
     """``groups`` (with ``_gid``, ``_size``) once per pair of tiles: adds ``_a``, ``_b`` (the pair) and ``_own``."""
     count = F.ceil(F.col("_size") / tile).cast("bigint")
