@@ -111,7 +111,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, e
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer)
-        if encoder.library.get_vocab_size() > 65536:
+        if len(encoder.bytes) > 65536:
             raise ValueError("ids are 16-bit")
         base = TaskContext.get().partitionId() << 33
         held, parts, size = [], [], 0

@@ -1,4 +1,4 @@
-"""Token ids of whole texts with a byte-level BPE file of the ``tokenizers`` library.
+"""Token ids of whole texts with a byte-level BPE file of ``tokenizers`` or ``tiktoken``.
 
 The library's split pattern always cuts before a space that a visible
 character follows, so a text is encoded as the chunks between such places.
@@ -8,21 +8,51 @@ ids of a block of texts are then gathered from one table.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
 KNOWN = 400_000
+#: fixed value: the special token of the vocabulary
+SPECIAL = "<|endoftext|>"
 CUT = re.compile(r" (?=\S)")
 
 
+Encoder = Callable[[list[str]], list]
+
+
+def _tokenizers(path: str) -> tuple[np.ndarray, Encoder]:
+    """Bytes of every id and the encoder of a ``tokenizers`` file."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    # pieces of a byte-level vocabulary have one character per byte
+    sizes = np.array([len(library.id_to_token(i) or "") for i in range(library.get_vocab_size())], np.int64)
+    return sizes, lambda texts: [e.ids for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def _tiktoken(path: str) -> tuple[np.ndarray, Encoder]:
+    """The same for a rank file; the special token that the file leaves out has the next id, as in the ``tokenizers`` file."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, lines)}
+    special = {SPECIAL: max(ranks.values()) + 1}
+    library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    sizes = np.zeros(len(ranks) + 1, np.int64)
+    sizes[list(ranks.values())] = list(map(len, ranks))
+    sizes[-1] = len(SPECIAL)
+    return sizes, lambda texts: [library.encode_to_numpy(t, allowed_special="all") for t in texts]
+
+
 class ChunkEncoder:
     def __init__(self, path: str, known: int = KNOWN):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
+        self.bytes, self.library = _tiktoken(path) if path.endswith(".tiktoken") else _tokenizers(path)
         self.most = known
         self.reset()
 
@@ -38,16 +68,31 @@ class ChunkEncoder:
         new = [c for c in chunks if c not in self.code]
         if not new:
             return
-        found = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
+        # chunks that begin with a space and a visible character can be encoded end to end
+        odd = [c for c in new if c[:1] != " " or len(c) < 2 or c[1].isspace()]
+        other = set(odd)
+        plain = [c for c in new if c not in other] if odd else new
+        new = plain + odd
+        alone = self.library(odd)
+        flat, sizes = self._together(plain)
+        sizes = np.concatenate([sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
+        flat = np.concatenate([flat, *(np.array(x, np.int32) for x in alone)])
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.ids = np.concatenate([self.ids, flat])
-        self.opens = np.concatenate([self.opens, np.array([len(c) < 2 or c[1].isspace() for c in new], bool)])
+        self.opens = np.concatenate([self.opens, np.zeros(len(plain), bool), np.array([len(c) < 2 or c[1].isspace() for c in odd], bool)])
         self.closes = np.concatenate([self.closes, np.array([not c or c[-1].isspace() for c in new], bool)])
 
+    def _together(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of chunks from few long texts; places are found by the bytes that every id stands for."""
+        texts = ["".join(chunks[i : i + 2000]) for i in range(0, len(chunks), 2000)]
+        found = [np.array(ids, np.int32) for ids in self.library(texts)]
+        flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+        ends = np.cumsum(np.fromiter((len(c.encode()) for c in chunks), np.int64, len(chunks)))
+        at = np.searchsorted(np.cumsum(self.bytes[flat]), ends) + 1
+        return flat, np.diff(at, prepend=0)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end and the n + 1 places where texts begin."""
         if len(self.code) > self.most:
