@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .names import all_of, unused
 
 PRIME = 2147483647
 STEP = 48271
@@ -34,7 +35,7 @@ WEIGHTS = (5, 2, 1)
 LONGEST = 256
 SHARD_SLOTS = 1024
 BUCKET = 8192
-SEGMENT = 65536
+SEGMENT = 4096
 WORD = r"[^\x20\x09-\x0D]++"
 
 
@@ -96,7 +97,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
 def slot_table(sources: DataFrame, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """``shard, place, s, pass, index``: the block of its source that every slot of the mix takes."""
     pieces = sources.filter("slots > 0").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(slots - 1) div {SEGMENT}"))))
-    pieces = pieces.repartition("s", "_piece")  # a large source is many pieces
+    spark = sources.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pieces = pieces.repartition(tasks, "s", "_piece")  # a large source is many pieces; a stated number is not merged again
     low = F.col("_piece") * SEGMENT
     slots = pieces.withColumn("k", F.explode(F.sequence(low, F.least(low + SEGMENT, F.col("slots")) - 1)))
     at = permuted(F.col("base") + F.col("k"), F.col("all_slots"), F.lit(0).cast("bigint"))
@@ -144,14 +147,14 @@ def _judged(sizes: DataFrame, weights: tuple[int, ...], cap: int, longest: int,
     drawn = slot_table(sources, shard_slots).groupBy("s", "index").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("shard"))
     taken = (
         block_parts(sizes, sources)
-        .join(drawn, ["s", "index"])
+        .join(drawn.hint("merge"), ["s", "index"])
         .groupBy("_row")
         .agg(F.sum(F.col("words") * F.col("times")).alias("taken"), F.min("shard").alias("first_shard"))
     )
     own = sources.select(F.col("source").alias("_source"), "source_size", "target")
     return (
         sizes.join(own, F.col("source").eqNullSafe(F.col("_source")))
-        .join(taken, "_row", "left")
+        .join(taken.hint("merge"), "_row", "left")
         .select("_row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"), "first_shard")
     )
 
@@ -168,9 +171,10 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     judged = _judged(sized(docs), weights, cap, longest, shard_slots).filter("taken > 0")
     draw = F.pmod(F.xxhash64("_row", F.lit(29)), F.lit(1_000_003)) / 1_000_003
     times = F.expr("taken div size").cast("int") + F.when(draw < (F.col("taken") % F.col("size")) / F.col("size"), 1).otherwise(0)
-    drawn = judged.select("_row", times.alias("_times")).filter("_times > 0")
-    rows = docs.withColumn("_row", F.monotonically_increasing_id()).join(drawn, "_row")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*names)
+    row, count, copy = (unused(names, n) for n in ("_row", "_times", "_copy"))
+    drawn = judged.select(F.col("_row").alias(row), times.alias(count)).filter(F.col(count) > 0)
+    rows = docs.withColumn(row, F.monotonically_increasing_id()).join(drawn, row)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).select(*all_of(names))
 
 
 ORACLE = rf"""
