@@ -6,12 +6,12 @@ gives the sums of any rectangle in four look-ups; sixteen filters compare
 rectangles over up to 16 frames, each is quantised to two Gray-coded bits, and
 the 32 bits of a place make one integer.
 
-Alignment: every value points to the first and the last query recording that
-holds it (an index of constant size per value, so a passage shared by any
-number of recordings costs two rows), every recording votes for (query,
-offset) in a histogram, and the best offset is verified by the share of wrong
-bits over the overlap.  Recordings with equal fingerprints are one class and
-are matched once.
+Alignment: the index has every place of every value in the query recordings.
+Values that no query holds are dropped before the shuffle by a hashed bit set
+of fixed size, the rest meet the index by value, every recording votes for
+(query, offset) in a histogram, and every offset of a pair with two votes or
+more is verified by the share of wrong bits over the overlap.  Recordings with
+equal fingerprints are one class and are matched once.
 """
 
 from __future__ import annotations
@@ -38,6 +38,8 @@ FILTERS = [(i % 4, (5 * i) % 7, 4 + (3 * i) % 6 // 2 * 2 if i % 4 != 3 else 6, (
 THRESHOLD = (0.12, 0.08, 0.08, 0.12)
 GRAY = np.array([0, 1, 3, 2], np.uint32)
 MIN_OVERLAP = 8
+MIN_VOTES = 2
+FILTER_BITS = 1 << 27
 MAX_ERROR = 0.25
 
 
@@ -116,9 +118,10 @@ def fingerprints(recordings: DataFrame, audio: str) -> DataFrame:
     return recordings.select(audio, *all_of(kept)).mapInArrow(run, f"{schema}, n_frames int, codes binary")
 
 
-def _placed(prints: DataFrame) -> DataFrame:
-    """``_class, value, t``: every code of the recordings."""
+def _placed(prints: DataFrame, marks: np.ndarray | None = None) -> DataFrame:
+    """``_class, value, t``: every code of the recordings, or those that ``marks`` may know."""
     schema = "_class bigint, value bigint, t int"
+    known = None if marks is None else prints.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,11 +132,27 @@ def _placed(prints: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(own)), sizes)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 value = np.concatenate(own).astype(np.int64) if own else np.zeros(0, np.int64)
+                if known is not None:
+                    at = np.flatnonzero((known.value[(value % FILTER_BITS) >> 6] >> (value % 64)) & 1)
+                    row, place, value = row[at], place[at], value[at]
                 yield pa.RecordBatch.from_arrays([pa.array(part.column(0).to_numpy()[row]), pa.array(value), pa.array(place.astype(np.int32))], ["_class", "value", "t"])
 
     return prints.select("_class", "codes").mapInArrow(run, schema)
 
 
+def _marked(index: DataFrame) -> np.ndarray:
+    """A hashed bit set of the values of the index: at most 16 MB, whatever their number.
+
+    It only spares the shuffle of values that no query holds; a join follows.
+    """
+    at = F.shiftright(F.pmod(F.col("value"), F.lit(FILTER_BITS)), 6).cast("int").alias("at")
+    bits = index.select(at, F.expr("shiftleft(1L, cast(pmod(value, 64) as int))").alias("bit"))
+    found = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
 def bit_errors(own: np.ndarray, query: np.ndarray, offset: int) -> tuple[int, float]:
     """Overlap in codes and the share of wrong bits when place t of the query meets place t + offset."""
     a, b = max(0, offset), min(len(own), len(query) + offset)
@@ -144,20 +163,39 @@ def bit_errors(own: np.ndarray, query: np.ndarray, offset: int) -> tuple[int, fl
 
 
 def _verified(pairs: DataFrame) -> DataFrame:
+    """The best offset of every pair that passes: by votes, then the nearest to 0, then the later one."""
     schema = "_class bigint, _query bigint, offset int, votes bigint, overlap int, bit_error double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                bit_errors(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4"), o)
-                for a, b, o in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), batch.column(2).to_pylist(), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:4], pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.float64())],
-                [c.split()[0] for c in schema.split(", ")],
-            )
-
-    return pairs.select("_class", "_query", "offset", "votes", "_own", "_codes").mapInArrow(run, schema)
+            out = []
+            columns = (batch.column(i).to_pylist() for i in range(5))
+            for own, query, offered, a, b in zip(*columns, strict=True):
+                a, b = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+                for o in sorted(offered, key=lambda o: (-o["votes"], abs(o["offset"]), -o["offset"])):
+                    n, wrong = bit_errors(a, b, o["offset"])
+                    if n >= MIN_OVERLAP and wrong <= MAX_ERROR:
+                        out.append((own, query, o["offset"], o["votes"], n, wrong))
+                        break
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.float64())
+            columns = zip(*out, strict=True) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in schema.split(", ")])
+
+    return pairs.select("_class", "_query", "_offers", "_own", "_codes").mapInArrow(run, schema)
+
+
+def _aligned(classes: DataFrame) -> DataFrame:
+    """``_class, _query, offset, votes, overlap, bit_error``: every pair of a class and another class with a query that aligns."""
+    coded = classes.filter("length(codes) > 0")
+    asked = coded.filter("_query is not null")
+    index = cut_lineage(_placed(asked).select(F.col("_class").alias("_of"), "value", F.col("t").alias("_at")))
+    hits = _placed(coded, _marked(index)).join(index, "value").filter("_of <> _class")
+    votes = hits.groupBy("_class", "_of", (F.col("t") - F.col("_at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    offers = votes.filter(F.col("votes") >= MIN_VOTES).groupBy("_class", "_of").agg(F.collect_list(F.struct("votes", "offset")).alias("_offers"))
+    pairs = offers.join(coded.select("_class", F.col("codes").alias("_own")), "_class").join(
+        asked.select(F.col("_class").alias("_of"), "_query", F.col("codes").alias("_codes")), "_of"
+    )
+    return _verified(pairs)
 
 
 def align(recordings: DataFrame, audio: str, every: int = 100) -> DataFrame:
@@ -165,12 +203,14 @@ def align(recordings: DataFrame, audio: str, every: int = 100) -> DataFrame:
 
     Queries are the rows whose doc_id is divisible by ``every``.  One row per
     row: ``doc_id, n_frames, n_codes, fingerprint`` (8 hex digits a code),
-    ``class_id`` (smallest doc_id with an equal fingerprint) and the query
-    class that aligns best: ``match_id`` (its smallest query doc_id), ``offset``
-    in codes, ``votes``, ``overlap`` and ``bit_error``; null where no other
-    class aligns over ``MIN_OVERLAP`` codes within ``MAX_ERROR``.  Rows without
-    codes are classes of their own; null ids are no queries; repeated rows
-    share a class; other columns are ignored.
+    ``class_id`` (smallest doc_id with an equal fingerprint), ``query_id``
+    (smallest query doc_id of the own class) and the other query class that
+    aligns best: ``match_id`` (its smallest query doc_id), ``offset`` in codes,
+    ``votes``, ``overlap`` and ``bit_error``; null where no other class aligns
+    over ``MIN_OVERLAP`` codes within ``MAX_ERROR``.  ``matches`` has all query
+    classes that align, by ``match_id``, each with its best offset.  Rows
+    without codes are classes of their own; null ids are no queries; repeated
+    rows share a class; other columns are ignored.
     """
     named = recordings.select(F.col("doc_id").cast("bigint").alias("doc_id"), audio).withColumn("_row", F.monotonically_increasing_id())
     prints = fingerprints(named, audio)
@@ -179,29 +219,17 @@ def align(recordings: DataFrame, audio: str, every: int = 100) -> DataFrame:
     query = F.when((F.col("doc_id") % every == 0) & (F.length("codes") > 0), F.col("doc_id"))
     classes = prints.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.min(query).alias("_query"), F.first("codes").alias("codes"))
     classes = cut_lineage(classes)
-    asked = classes.filter("_query is not null")
-    holder = F.struct("_query", "_class", "t")
-    index = _placed(asked).join(asked.select("_class", "_query"), "_class").groupBy("value").agg(F.min(holder).alias("_lo"), F.max(holder).alias("_hi"))
-    index = index.select("value", F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_q"))
-    places = _placed(classes.filter("length(codes) > 0"))
-    hits = places.join(index, "value").filter(F.col("_q._class") != F.col("_class"))
-    votes = hits.groupBy("_class", F.col("_q._class").alias("_of"), (F.col("t") - F.col("_q.t")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("_class").agg(F.max(F.struct("votes", -F.abs("offset"), "offset", "_of")).alias("b"))
-    best = best.filter("b.votes > 1").select("_class", F.col("b.votes").alias("votes"), F.col("b.offset").alias("offset"), F.col("b._of").alias("_of"))
-    pairs = best.join(classes.select("_class", F.col("codes").alias("_own")), "_class").join(
-        asked.select(F.col("_class").alias("_of"), "_query", F.col("codes").alias("_codes")), "_of"
-    )
-    good = _verified(pairs).filter((F.col("overlap") >= MIN_OVERLAP) & (F.col("bit_error") <= MAX_ERROR))
-    judged = classes.select("_class", "class_id").join(good, "_class", "left")
+    match = F.struct(F.col("_query").alias("match_id"), "offset", "votes", "overlap", "bit_error")
+    rank = F.struct("votes", -F.abs("offset"), "offset", -F.col("_query"))
+    found = _aligned(classes).groupBy("_class").agg(F.max_by(match, rank).alias("_best"), F.sort_array(F.collect_list(match)).alias("matches"))
+    judged = classes.select("_class", "class_id", F.col("_query").alias("query_id")).join(found, "_class", "left")
     return prints.join(judged, "_class").select(
         "doc_id",
         "n_frames",
         F.expr("cast(length(codes) div 4 as int)").alias("n_codes"),
         F.lower(F.hex("codes")).alias("fingerprint"),
         "class_id",
-        F.col("_query").alias("match_id"),
-        "offset",
-        "votes",
-        "overlap",
-        "bit_error",
+        "query_id",
+        "_best.*",
+        F.coalesce("matches", F.array().cast("array<struct<match_id: bigint, offset: int, votes: bigint, overlap: int, bit_error: double>>")).alias("matches"),
     )

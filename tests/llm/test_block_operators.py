@@ -228,3 +228,31 @@ def test_audio_recall_against_brute_force(spark, docs):
             there += 1
             found += known[d].match_id is not None
     assert there > 5 and found >= 0.9 * there
+
+
+def test_audio_finds_every_query(spark, tmp_path):
+    """All queries that share a passage are partners, not only the lowest and the highest id."""
+    rng = np.random.default_rng(9)
+    shared = np.cumsum(rng.normal(size=8_000)) * 3 % 256
+    rows = [(100 * k, np.concatenate((rng.integers(0, 256, 32 * k), shared, rng.integers(0, 256, 320)))) for k in range(1, 7)] + [(1, shared), (2, rng.integers(0, 256, 5_000))]
+    path = str(tmp_path / "shared")
+    spark.createDataFrame([(d, bytearray(x.astype(np.uint8).tobytes())) for d, x in rows], "doc_id long, audio binary").repartition(3).write.parquet(path)
+    got = {r.doc_id: r for r in audio.align(spark.read.parquet(path), "audio").collect()}
+    assert [(m.match_id, m.offset) for m in got[1].matches] == [(100 * k, -k) for k in range(1, 7)]
+    assert [m.match_id for m in got[300].matches] == [100, 200, 400, 500, 600] and got[300].query_id == 300
+    assert got[2].matches == [] and got[2].match_id is None and got[2].query_id is None
+
+
+def test_audio_recall_per_pair(spark, docs):
+    """Every pair with a shared passage, held against brute force over all offsets."""
+    got = audio.align(docs.selectExpr("doc_id", "cast(text as binary) audio"), "audio", every=20).collect()
+    known = {r.doc_id: r for r in got if r.doc_id is not None}
+    prints = {d: np.frombuffer(bytes.fromhex(r.fingerprint), "<u4") for d, r in known.items()}
+    there = found = 0
+    for d, own in prints.items():
+        for q in (q for q in prints if q % 20 == 0 and len(prints[q]) and known[q].class_id != known[d].class_id):
+            errors = [audio.bit_errors(own, prints[q], o) for o in range(-len(prints[q]) + audio.MIN_OVERLAP, len(own) - audio.MIN_OVERLAP)]
+            if any(n >= 60 and e <= 0.1 for n, e in errors):
+                there += 1
+                found += known[q].query_id in {m.match_id for m in known[d].matches}
+    assert there > 5 and found >= 0.9 * there
