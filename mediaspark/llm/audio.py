@@ -11,7 +11,8 @@ Values that no query holds are dropped before the shuffle by a hashed bit set
 of fixed size, the rest meet the index by value, every recording votes for
 (query, offset) in a histogram, and every offset of a pair with two votes or
 more is verified by the share of wrong bits over the overlap.  Recordings with
-equal fingerprints are one class and are matched once.
+equal fingerprints are one class and are matched once; recordings too short
+for a code are one class if their samples are equal.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ RATE = 8000
 FRAME = 256
 HOP = 32
 WIDEST = 16
+SHORTEST = FRAME + (WIDEST - 1) * HOP  # samples of the first code
 BLOCK = 400_000
 #: shape, first pitch class, pitch classes, frames of the sixteen filters
 FILTERS = [(i % 4, (5 * i) % 7, 4 + (3 * i) % 6 // 2 * 2 if i % 4 != 3 else 6, (4, 8, 12, 16)[i // 4]) for i in range(16)]
@@ -209,14 +211,17 @@ def align(recordings: DataFrame, audio: str, every: int = 100) -> DataFrame:
     ``votes``, ``overlap`` and ``bit_error``; null where no other class aligns
     over ``MIN_OVERLAP`` codes within ``MAX_ERROR``.  ``matches`` has all query
     classes that align, by ``match_id``, each with its best offset.  Rows
-    without codes are classes of their own; null ids are no queries; repeated
-    rows share a class; other columns are ignored.
+    too short for a code share a class if all their samples are equal (a query
+    among them is their ``query_id``) and align with no other class; null
+    recordings are classes of their own; null ids are no queries; repeated rows
+    share a class; other columns are ignored.
     """
     named = recordings.select(F.col("doc_id").cast("bigint").alias("doc_id"), audio).withColumn("_row", F.monotonically_increasing_id())
+    named = named.withColumn("_samples", F.when(F.length(audio) < SHORTEST, F.xxhash64(audio, F.lit(6))))
     prints = fingerprints(named, audio)
-    own = F.when(F.length("codes") > 0, F.xxhash64("codes")).otherwise(F.xxhash64("_row", F.lit(5)))
+    own = F.when(F.length("codes") > 0, F.xxhash64("codes")).otherwise(F.coalesce("_samples", F.xxhash64("_row", F.lit(5))))
     prints = cut_lineage(prints.withColumn("_class", own))
-    query = F.when((F.col("doc_id") % every == 0) & (F.length("codes") > 0), F.col("doc_id"))
+    query = F.when(F.col("doc_id") % every == 0, F.col("doc_id"))
     classes = prints.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.min(query).alias("_query"), F.first("codes").alias("codes"))
     classes = cut_lineage(classes)
     match = F.struct(F.col("_query").alias("match_id"), "offset", "votes", "overlap", "bit_error")

@@ -256,3 +256,23 @@ def test_audio_recall_per_pair(spark, docs):
                 there += 1
                 found += known[q].query_id in {m.match_id for m in known[d].matches}
     assert there > 5 and found >= 0.9 * there
+
+
+def test_short_recordings_meet_their_copies(spark, tmp_path):
+    short, brief, none = b"all rights reserved", bytes(range(256)) * 2 + b"x" * 223, b""
+    rows = [(100, short), (3, short), (4, short + b"."), (200, brief), (5, brief), (6, brief + b"x"), (7, none), (8, none), (9, None), (10, None)]
+    path = str(tmp_path / "short")
+    spark.createDataFrame([(d, None if x is None else bytearray(x)) for d, x in rows], "doc_id long, audio binary").repartition(3).write.parquet(path)
+    got = {r.doc_id: (r.n_codes, r.class_id, r.query_id) for r in audio.align(spark.read.parquet(path), "audio").collect()}
+    assert got[3] == got[100] == (0, 3, 100) and got[4] == (0, 4, None)
+    assert got[5] == got[200] == (0, 5, 200) and got[6] == (1, 6, None)
+    assert got[7][1] == got[8][1] == 7 and (got[9][1], got[10][1]) == (9, 10)
+
+
+def test_short_recordings_in_the_recall(spark, docs):
+    """Every pair of equal texts of a document and a query, short ones too, shares a class."""
+    rows = [r for r in docs.select("doc_id", "text").collect() if r.doc_id is not None and r.text is not None]
+    got = {r.doc_id: r for r in audio.align(docs.selectExpr("doc_id", "cast(text as binary) audio"), "audio", every=5).collect() if r.doc_id is not None}
+    pairs = [(a, b) for a in rows for b in rows if b.doc_id % 5 == 0 and a.text == b.text]
+    assert any(a.doc_id != b.doc_id and len(a.text.encode()) < audio.SHORTEST for a, b in pairs)
+    assert all(got[a.doc_id].class_id == got[b.doc_id].class_id and got[a.doc_id].query_id <= b.doc_id for a, b in pairs)
