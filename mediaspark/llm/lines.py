@@ -1,11 +1,12 @@
 """Line dedup (9): exact set-similarity join of lines.
 
-A line counts as the set of its distinct words; lines of fewer than
-``MIN_WORDS`` distinct words are never removed.  A line is removed if an
+A line counts as the set of its distinct words; lines without a word are never
+removed.  A line is removed if an
 earlier line (by doc_id, nulls last, then place) has a Jaccard similarity of
 4/5 or more with it, whether or not that line is removed itself.
 
-Lines with equal sets are one class.  Words are ordered by rarity (counts over
+Lines with equal sets are one class, which is all that lines of fewer than
+``MIN_JOINED`` distinct words need.  In classes of longer lines, words are ordered by rarity (counts over
 the whole corpus in 2^18 hashed buckets: a fixed size, upper bounds of the
 counts).  Two similar sets share a word in their prefixes, the first
 n - ceil(4n/5) + 1 words, so classes meet by prefix word; the length filter,
@@ -28,7 +29,8 @@ from .names import all_of, unused
 from .tiles import Overlaps, components, group_ids, outermost, runs, tiled
 from .words import U, Words, blocks, mix, salted
 
-MIN_WORDS = 5
+MIN_WORDS = 1
+MIN_JOINED = 4  # smaller sets are only similar if they are equal; 4 words inside 5 are at 4/5
 BUCKETS = 1 << 18
 DENSE = 4096
 LARGE = 48
@@ -124,7 +126,7 @@ def _prefixes(rows: DataFrame, rank: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for _, data, offsets in blocks(batches, 0):
-            sets = LineSets(data, offsets, known.value)
+            sets = LineSets(data, offsets, known.value, MIN_JOINED)
             own = sets.classes()
             bit = salted(sets.word, 6)
             upper = (bit & U(64) != 0) & (np.repeat(sets.size, sets.size) >= LARGE)
@@ -218,7 +220,7 @@ def _sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, 1):
-            sets = LineSets(data, offsets)
+            sets = LineSets(data, offsets, least=MIN_JOINED)
             own = sets.classes()
             at = np.flatnonzero((known.value[(own % FILTER_BITS) >> 6] >> (own % 64)) & 1)
             # the first line of a class in a block will do
