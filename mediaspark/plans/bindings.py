@@ -75,8 +75,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "song": F.lit(""),
         "sounds": none,
         "template": F.col("source"),
-        # the distinct long words of the whole text
-        "tags": F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{10,})"), F.lit(1))),
+        # all distinct words of the whole text; TAGS_SQL still has those of ten letters or more only
+        "tags": F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))),
         "objects": none,
         "people": F.array(
             F.concat(F.lit("p"), F.col("n_chars") % 40), F.concat(F.lit("p"), i % 25)

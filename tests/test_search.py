@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from mediaspark.operators import fulltext, fuzzy, knn, retrieval, similar
+from mediaspark.plans import bindings
 
 
 def brute(q, x, k):
@@ -132,3 +133,14 @@ def test_similar_read_cuts_before_hiding(spark):
     _, df = skewed(spark)
     lists = spark.createDataFrame([(1, [11, 2, 22, 3, 4])], "id bigint, ids array<bigint>")
     assert [r.other for r in similar.similar_read(lists, df, 4).orderBy("pos").collect()] == [2, 3]
+
+
+def test_tags_are_all_words(spark, sf):
+    """The binding gives every distinct word of the text; TAGS_SQL, read with all words, has the same rows."""
+    duckdb = pytest.importorskip("duckdb")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    whole = bindings.TAGS_SQL.replace(r"\p{L}{10,}", r"\p{L}+")
+    want = dict(duck.execute(f"WITH {whole} SELECT id, tags FROM tag_lists").fetchall())
+    got = {r.id: r.tags for r in bindings.items(spark, sf).select("id", "tags").collect()}
+    assert {i: t for i, t in got.items() if t} == want and any(len(w) < 4 for t in want.values() for w in t)
