@@ -75,7 +75,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "song": F.lit(""),
         "sounds": none,
         "template": F.col("source"),
-        # all distinct words of the whole text; TAGS_SQL still has those of ten letters or more only
+        # all distinct words of the whole text
         "tags": F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))),
         "objects": none,
         "people": F.array(
@@ -154,7 +154,7 @@ items AS (SELECT *, CASE WHEN status = 'failed' THEN err ELSE '' END AS error,
 """
 
 TAGS_SQL = r"""
-words0 AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '\p{L}{10,}') AS w FROM documents),
+words0 AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '\p{L}+') AS w FROM documents),
 words1 AS (SELECT id, unnest(w) AS tag, generate_subscripts(w, 1) AS p FROM words0),
 words2 AS (SELECT id, tag, min(p) AS p FROM words1 GROUP BY ALL),
 item_tags AS (SELECT id, tag, pos FROM (
