@@ -317,7 +317,7 @@ WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts
 numbered AS (SELECT doc_id, unnest(range(len(parts))) AS line, unnest(parts) AS body FROM split),
 worded AS (
   SELECT doc_id, line, list_sort(list_distinct(regexp_extract_all(body, '[^\x20\x09-\x0D]+'))) AS words FROM numbered),
-sets AS (SELECT *, dense_rank() OVER (ORDER BY words) AS c FROM worded WHERE len(words) >= 5),
+sets AS (SELECT *, dense_rank() OVER (ORDER BY words) AS c FROM worded WHERE len(words) >= 1),
 firsts AS (SELECT c, any_value(words) AS words, len(any_value(words)) AS n, min((doc_id, line)) AS pos FROM sets GROUP BY c),
 tokens AS (SELECT c, n, pos, unnest(words) AS word FROM firsts),
 shared AS (
