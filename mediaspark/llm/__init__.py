@@ -13,6 +13,7 @@ Nothing else in the library imports this subpackage.  The operators:
 ``substrings``      repeated word windows by level-wise doubling
 ``lines``           near-equal lines by exact prefix-filtered set join
 ``counting``        token counts from pre-token frequencies
+``pieces``          SentencePiece encoding and decoding in merge rounds
 ==================  ======================================================
 
 Tokenizer files are read by path on every executor; the default path comes

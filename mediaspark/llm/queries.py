@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, binary, counting, jaccard, language, lines, mixing, packing, sketch, substrings
+from . import audio, binary, counting, jaccard, language, lines, mixing, packing, pieces, sketch, substrings
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary as ranks
@@ -64,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(documents(spark, sf_dir), PIECES)
 
 
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(documents(spark, sf_dir), PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
@@ -75,5 +79,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_lines": op9_lines,
     "op10_token_counts": op10_token_counts,
+    "op13_pieces": op13_pieces,
 }
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE}
