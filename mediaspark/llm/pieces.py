@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .counting import MARK, RUNS
-from .names import all_of, unused
+from .names import with_made
 from .words import blocks
 
 ROUNDS = 48
@@ -333,27 +333,20 @@ def _encoded(batches: Iterator[pa.RecordBatch], text: int, path: str, ends: bool
         yield part, *(framed(ids, first, model.begin, model.end) if ends else (ids, first)), model
 
 
-def _schema(docs: DataFrame, name: str, kind: T.DataType) -> tuple[str, T.StructType]:
-    """A free column name and the schema of ``docs`` with it behind."""
-    new = unused(docs.columns, name)
-    return new, T.StructType([*docs.schema.fields, T.StructField(new, kind)])
-
-
 def encode(docs: DataFrame, model_path: str, text: str = "text", ends: bool = True) -> DataFrame:
     """``docs`` with the ids of ``text`` in a new column ``ids`` (``ids_`` and so on where that name is taken).
 
     Null text is empty.  ``ends`` puts the begin id before and the end id behind.
     Rows are independent: repeated rows, null keys and clashing names pass through.
     """
-    name, schema = _schema(docs, "ids", T.ArrayType(T.IntegerType()))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, ids, first, _ in _encoded(batches, at, model_path, ends):
             made = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*part.columns, made], [*part.schema.names, "made"])
 
-    return docs.select(*all_of(docs.columns)).mapInArrow(run, schema)
+    return with_made(docs, "ids", T.ArrayType(T.IntegerType()), run)
 
 
 def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
@@ -362,7 +355,6 @@ def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
     A null list gives null, an empty one an empty text; null ids inside a list are
     left out.  An id outside the vocabulary is an error.
     """
-    name, schema = _schema(coded, "decoded", T.StringType())
     at = coded.columns.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -376,9 +368,9 @@ def decode(coded: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
                     raise ValueError("an id is outside the vocabulary")
                 data, places = model.decode(flat, np.cumsum([0, *map(len, lists)]))
                 texts = [None if x is None else data[a:b].decode() for x, a, b in zip(part.column(at).to_pylist(), places[:-1], places[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "made"])
 
-    return coded.select(*all_of(coded.columns)).mapInArrow(run, schema)
+    return with_made(coded, "decoded", T.StringType(), run)
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
