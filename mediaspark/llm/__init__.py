@@ -13,6 +13,7 @@ Nothing else in the library imports this subpackage.  The operators:
 ``substrings``      repeated word windows by level-wise doubling
 ``lines``           near-equal lines by exact prefix-filtered set join
 ``counting``        token counts from pre-token frequencies
+``ranking``         ranked search by a tree of items and a tree of documents
 ``variants``        spelling variants by a trie of letter-group counts
 ``pieces``          SentencePiece encoding and decoding in merge rounds
 ==================  ======================================================

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, binary, counting, jaccard, language, lines, mixing, packing, pieces, sketch, substrings, variants
+from . import audio, binary, counting, jaccard, language, lines, mixing, packing, pieces, ranking, sketch, substrings, variants
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 BYTE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")  # the same vocabulary as ranks
@@ -64,6 +64,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.count_tokens(documents(spark, sf_dir), PIECES)
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variants_of(documents(spark, sf_dir))
 
@@ -83,7 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substrings": op8_substrings,
     "op9_lines": op9_lines,
     "op10_token_counts": op10_token_counts,
+    "op11_ranking": op11_ranking,
     "op12_variants": op12_variants,
     "op13_pieces": op13_pieces,
 }
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE, "op4_jaccard": jaccard.ORACLE, "op9_lines": lines.ORACLE, "op11_ranking": ranking.ORACLE}
