@@ -1,28 +1,47 @@
-"""Exact nearest neighbours by cosine distance, without a cross join.
-
-A batch of query vectors that fits one block travels to the items: each task
-scores its rows against the block with one matrix product and keeps its best
-``k`` per query.  A larger query side (a self-join) is cut by pivots instead:
-every item belongs to the cell of its nearest pivot, and the triangle
-inequality on the chord ``|x - y| = sqrt(2 * distance)`` of unit vectors tells
-which cells a query can skip.  Crowded cells are cut into tiles.
+"""Exact nearest neighbours by cosine distance in two rounds, one plan for any number of queries.
+
+A pivot tree of bounded size places every item: cells hold leaves, a leaf holds
+the items nearest to its pivot.  Unit vectors have the chord
+``|x - y| = sqrt(2 * distance)``, so by the triangle inequality a query knows
+how close the items of a leaf can be.
+
+Round one sends a query to the cells of the leaves around it that hold ``k``
+items; the ``k``-th distance found there bounds its neighbours.  Round two
+sends it to the other cells that have a leaf within that bound, if there are
+any.  Inside a cell the leaves around the query are scored first; of the rest
+only items whose lower bound (chords to the pivot, place along a few common
+directions and distance from them) is within the bound are scored.
+
+Only cells that a query visits are shuffled.  Of more than ``k`` equal vectors
+only the ``k`` highest ids can be among the nearest, so the rest stay out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..scale import tiled_cogroup, top_k
+from ..scale import broadcast_if_small, top_k
+from ..session import cut_lineage
 
-QUERY_BLOCK = 4096
-PIVOTS = 4096
-CELL_ROWS = 4096
+SAMPLE = 8192
+LEAVES, LEAF_ROWS = 4096, 64
+CELLS, CELL_ROWS = 1024, 4096
+TILE_ROWS = 8192
+VISITORS = 20_000
+DIRECTIONS = 16
 PLACES = 9
+#: rounding of a distance and of a chord
+SLACK, CHORD_SLACK = 4e-9, 1e-6
+FAR = 3.0  # over any cosine distance
 SCHEMA = "q bigint, id bigint, d double"
 
 
@@ -33,127 +52,236 @@ def unit(rows) -> np.ndarray:
     return m / n
 
 
-def best_of(qids: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> pd.DataFrame:
-    """Best ``k`` ids per query row of a distance matrix, ties by id descending."""
-    qs, cols = [], []
-    wide = d.shape[1] > k
-    limit = np.partition(d, k - 1, axis=1)[:, k - 1] if wide else None
-    for i in range(len(qids)):
-        at = np.nonzero(d[i] <= limit[i])[0] if wide else np.arange(d.shape[1])
-        at = at[np.isfinite(d[i, at])]
-        at = at[np.lexsort((-ids[at], d[i, at]))][:k]
-        qs.append(np.full(len(at), i))
-        cols.append(at)
-    qi, ci = np.concatenate(qs), np.concatenate(cols)
-    return pd.DataFrame({"q": qids[qi], "id": ids[ci], "d": d[qi, ci]})
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.round(1.0 - a @ b.T, PLACES)
-
+def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
 
-def knn(queries: DataFrame, items: DataFrame, k: int, query_block: int = QUERY_BLOCK, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """``q, id, d, r``: the ``k`` nearest items of every query vector.
 
-    ``queries`` has ``q, qvec``, ``items`` has ``id, vec``; rows without a
-    vector take no part.
+def _spread_out(sample: np.ndarray, n: int) -> np.ndarray:
+    """Places of ``n`` rows, each as far as can be from those before it."""
+    picked = [0]
+    gap = _chord(sample, sample[:1])[:, 0]
+    while len(picked) < n:
+        picked.append(int(gap.argmax()))
+        gap = np.minimum(gap, _chord(sample, sample[picked[-1:]])[:, 0])
+    return np.array(picked)
+
+
+@dataclass
+class PivotTree:
+    """Leaf pivots, the cell of each leaf, and directions that spread the pivots most."""
+
+    leaves: np.ndarray
+    cell_of: np.ndarray
+    axes: np.ndarray
+
+    @classmethod
+    def of(cls, sample: np.ndarray, leaves: int, cells: int) -> PivotTree:
+        pivots = sample[_spread_out(sample, min(leaves, len(sample)))]
+        axes = np.linalg.svd(pivots, full_matrices=False)[2][:DIRECTIONS]
+        return cls(pivots, _chord(pivots, pivots[:cells]).argmin(axis=1), axes.T)
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest leaf of every vector and the chord to its pivot."""
+        to = _chord(x, self.leaves)
+        leaf = to.argmin(axis=1)
+        return leaf, to[np.arange(len(x)), leaf]
+
+    def sketch(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places along the directions, and the length of the rest."""
+        y = x @ self.axes
+        return y, np.sqrt(np.maximum(0.0, (x * x).sum(axis=1) - (y * y).sum(axis=1)))
+
+
+@dataclass
+class Leaves:
+    """The leaves that hold items: number, rows, least and greatest chord to the pivot."""
+
+    leaf: np.ndarray
+    rows: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def closest(self, tree: PivotTree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chords of every query to every pivot, and how close the items of its leaf can be."""
+        to = _chord(x, tree.leaves[self.leaf])
+        return to, np.maximum(0.0, np.maximum(to - self.high, self.low - to) - CHORD_SLACK)
+
+    def around(self, to: np.ndarray, k: int) -> np.ndarray:
+        """Mask of the leaves around each query that hold ``k`` items together."""
+        order = np.argsort(to, axis=1)
+        held = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        mask = np.zeros(to.shape, bool)
+        np.put_along_axis(mask, order, held < k, axis=1)
+        return mask
+
+
+def _best_of(qi: np.ndarray, ci: np.ndarray, d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` pairs of each query from pairs of places, ties by id descending, and which of them are the k-th."""
+    order = np.lexsort((-ids[ci], d, qi))
+    qi, ci, d = qi[order], ci[order], d[order]
+    first = np.flatnonzero(np.diff(qi, prepend=-1))
+    rank = np.arange(len(qi)) - np.repeat(first, np.diff(first, append=len(qi)))
+    keep = rank < k
+    return qi[keep], ci[keep], d[keep]
+
+
+class Tile:
+    """Items of one cell, sorted by leaf, scored against blocks of queries."""
+
+    def __init__(self, tree: PivotTree, ids: np.ndarray, x: np.ndarray, leaf: np.ndarray, far: np.ndarray, k: int, scored: Accumulator | None = None):
+        order = np.argsort(leaf, kind="stable")
+        self.tree, self.ids, self.x, self.far, self.k, self.scored = tree, ids[order], x[order], far[order], k, scored
+        own, first, rows = np.unique(leaf[order], return_index=True, return_counts=True)
+        self.at = np.repeat(np.arange(len(own)), rows)
+        self.leaves = Leaves(own, rows, np.minimum.reduceat(self.far, first), np.maximum.reduceat(self.far, first))
+        self.y, self.rest = tree.sketch(self.x)
+
+    def exact(self, q: np.ndarray, qi: np.ndarray, ci: np.ndarray) -> np.ndarray:
+        n = len(qi)
+        if self.scored is not None:
+            self.scored.add(n)
+        if 5 * n > len(q) * len(self.x):  # one product is the shorter way to most pairs
+            return np.round(1.0 - q @ self.x.T, PLACES)[qi, ci]
+        parts = [np.round(1.0 - np.einsum("ij,ij->i", q[qi[i : i + 65536]], self.x[ci[i : i + 65536]]), PLACES) for i in range(0, n, 65536)]
+        return np.concatenate([np.zeros(0), *parts])
+
+    def search(self, q: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of queries and items, and distances: the best ``k`` items of each query within its bound."""
+        to, near = self.leaves.closest(self.tree, q)
+        # the leaves around each query first: their k-th distance is a bound, too
+        mask = (self.leaves.around(to, self.k) & (near**2 <= 2.0 * bound[:, None] + SLACK))[:, self.at]
+        qi, ci = np.nonzero(mask)
+        d = self.exact(q, qi, ci)
+        qi, ci, d = _best_of(qi, ci, d, self.ids, self.k)
+        count = np.bincount(qi, minlength=len(q))
+        full = np.flatnonzero(count == self.k)
+        bound = bound.copy()
+        bound[full] = np.minimum(bound[full], d[np.cumsum(count)[full] - 1])
+        limit = 2.0 * bound[:, None] + SLACK
+        gap = np.maximum(np.abs(to[:, self.at] - self.far) - CHORD_SLACK, 0.0)
+        y, rest = self.tree.sketch(q)
+        least = (y * y).sum(axis=1)[:, None] + (self.y * self.y).sum(axis=1) - 2.0 * (y @ self.y.T) + (rest[:, None] - self.rest) ** 2
+        qj, cj = np.nonzero((gap**2 <= limit) & (least <= limit) & ~mask)
+        e = self.exact(q, qj, cj)
+        qi, ci, d = (np.concatenate(x) for x in ((qi, qj), (ci, cj), (d, e)))
+        good = d <= bound[qi] + SLACK
+        return _best_of(qi[good], ci[good], d[good], self.ids, self.k)
+
+
+def _few_copies(items: DataFrame, k: int) -> DataFrame:
+    """``items`` without the lower ids of vectors that more than ``k`` rows share."""
+    key = F.xxhash64("vec")
+    crowd = items.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > k)
+    crowd = broadcast_if_small(cut_lineage(crowd.select("_key")))
+    keyed = items.withColumn("_key", key)
+    calm = keyed.join(crowd, "_key", "left_anti")
+    return calm.unionByName(top_k(keyed.join(crowd, "_key", "left_semi"), ["_key", "vec"], [F.desc("id")], k)).drop("_key")
+
+
+def knn(
+    queries: DataFrame, items: DataFrame, k: int, leaf_rows: int = LEAF_ROWS, cell_rows: int = CELL_ROWS, tile_rows: int = TILE_ROWS, scored: Accumulator | None = None
+) -> DataFrame:
+    """``q, id, d, r``: the ``k`` nearest items of every query vector, ties by id descending.
+
+    ``queries`` has ``q, qvec``, ``items`` has ``id, vec``; rows without a vector take no part.
+    ``leaf_rows`` and ``cell_rows`` are the aims while leaves and cells are under their bounds;
+    a cell of over ``tile_rows`` items is cut into tiles, one of over ``VISITORS`` queries is read by
+    several tasks.  ``scored`` counts the pairs that were scored in all dimensions.
     """
-    queries = queries.select(F.col("q").cast("bigint").alias("q"), "qvec").filter("qvec is not null")
-    items = items.select(F.col("id").cast("bigint").alias("id"), "vec").filter("vec is not null")
-    rows = queries.limit(query_block + 1).collect()
-    if len(rows) <= query_block:
-        found = _one_block(rows, items, k)
-    else:
-        found = _by_cells(queries, items, k, cell_rows)
-    return top_k(found, ["q"], [F.asc("d"), F.desc("id")], k, "r")
-
-
-def _one_block(rows: list, items: DataFrame, k: int) -> DataFrame:
     spark = items.sparkSession
-    if not rows:
-        return spark.createDataFrame([], SCHEMA)
-    block = spark.sparkContext.broadcast(
-        (np.array([r.q for r in rows]), unit([r.qvec for r in rows]))
-    )
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qm = block.value
-        kept: pd.DataFrame | None = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            now = best_of(qids, pdf["id"].to_numpy(), distances(qm, unit(pdf["vec"])), k)
-            kept = now if kept is None else pd.concat([kept, now])
-            if len(kept) > 4 * k * len(qids):
-                kept = _cut(kept, k)
-        if kept is not None:
-            yield _cut(kept, k)
-
-    return items.mapInPandas(score, SCHEMA)
-
-
-def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    found = found.sort_values(["q", "d", "id"], ascending=[True, True, False])
-    return found.groupby("q", sort=False).head(k)
-
-
-def _by_cells(queries: DataFrame, items: DataFrame, k: int, cell_rows: int) -> DataFrame:
-    spark = items.sparkSession
-    n = items.count()
-    wanted = max(1, min(PIVOTS, n // cell_rows))
-    # a bounded number of pivots, picked by hash so that every run takes the same ones
-    chosen = items.orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
-    if not chosen:
-        return spark.createDataFrame([], SCHEMA)
-    pivots = spark.sparkContext.broadcast(unit([r.vec for r in chosen]))
+    queries = queries.select(F.col("q").cast("bigint").alias("q"), "qvec").filter("qvec is not null")
+    items = _few_copies(items.select(F.col("id").cast("bigint").alias("id"), "vec").filter("vec is not null"), k)
+    # a bounded sample, picked by hash so that every run takes the same one
+    sample = items.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    if not sample:
+        return spark.createDataFrame([], SCHEMA + ", r int")
+    n = len(sample) if len(sample) < SAMPLE else items.count()
+    tree = spark.sparkContext.broadcast(PivotTree.of(unit([r.vec for r in sample]), max(1, min(LEAVES, n // leaf_rows)), max(1, min(CELLS, n // cell_rows))))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                dist = _chord(unit(pdf["vec"]), pivots.value)
-                cell = dist.argmin(axis=1)
-                yield pdf.assign(cell=cell, far=dist[np.arange(len(cell)), cell])
-
-    vec = items.schema["vec"].dataType.simpleString()
-    placed = items.mapInPandas(assign, f"id bigint, vec {vec}, cell bigint, far double")
-    # one row per pivot: how many items a cell holds and how far they reach
-    stats = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()
-    cells = spark.sparkContext.broadcast(
-        (np.array([s.cell for s in stats]), np.array([s.n for s in stats]), np.array([s.far for s in stats]))
-    )
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, sizes, reach = cells.value
-        centres = pivots.value[ids]
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            to = _chord(unit(pdf["qvec"]), centres)
-            order = np.argsort(to + reach, axis=1)
-            upper = np.take_along_axis(to + reach, order, axis=1)
-            enough = np.cumsum(sizes[order], axis=1) >= k
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(ids) - 1)
-            # k items surely lie within this chord; cells beyond it hold none of the k nearest
-            bound = upper[np.arange(len(pdf)), at] + 1e-6
-            row, col = np.nonzero(to - reach <= bound[:, None])
-            yield pd.DataFrame(
-                {"q": pdf["q"].to_numpy()[row], "qvec": pdf["qvec"].to_numpy()[row], "cell": ids[col]}
-            )
-
-    qtype = queries.schema["qvec"].dataType.simpleString()
-    visits = queries.mapInPandas(visit, f"q bigint, qvec {qtype}, cell bigint")
-
-    def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64"})
-        d = distances(unit(left["qvec"]), unit(right["vec"]))
-        return best_of(left["q"].to_numpy(), right["id"].to_numpy(), d, k)
-
-    return tiled_cogroup(visits, placed.select("id", "vec", "cell"), ["cell"], "q", "id", tile, SCHEMA, cell_rows)
-
-
-def _chord(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (a @ b.T)))
+                leaf, far = tree.value.place(unit(pdf["vec"]))
+                yield pdf.assign(leaf=leaf, far=far, cell=tree.value.cell_of[leaf])
+
+    kind = items.schema["vec"].dataType.simpleString()
+    placed = cut_lineage(items.mapInPandas(assign, f"id bigint, vec {kind}, leaf bigint, far double, cell bigint"))
+    # at most LEAVES rows
+    stats = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi")).orderBy("leaf").collect()
+    leaves = Leaves(*(np.array([s[i] for s in stats]) for i in range(4)))
+    held = np.bincount(tree.value.cell_of[leaves.leaf], weights=leaves.rows).astype(np.int64)
+    tiles = -(-held // tile_rows)
+    known = spark.sparkContext.broadcast(leaves)
+
+    def reach(batch: pa.RecordBatch, first: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places of queries and the cells that they visit."""
+        own, row, col = known.value, [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        vecs, bound = batch.column(1).to_pandas(), batch.column(2).to_numpy()
+        cell_of = tree.value.cell_of[own.leaf]
+        order = np.argsort(cell_of, kind="stable")
+        cells, starts = np.unique(cell_of[order], return_index=True)
+        for at in range(0, len(vecs), 512):
+            to, near = own.closest(tree.value, unit(vecs[at : at + 512]))
+            mask = np.logical_or.reduceat(own.around(to, k)[:, order], starts, axis=1)
+            if not first:
+                may = near**2 <= 2.0 * bound[at : at + 512, None] + SLACK
+                mask = ~mask & np.logical_or.reduceat(may[:, order], starts, axis=1)
+            i, j = np.nonzero(mask)
+            row.append(i + at)
+            col.append(cells[j])
+        return np.concatenate(row), np.concatenate(col)
+
+    def found(asked: DataFrame, first: bool) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(held), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += np.bincount(reach(batch, first)[1], minlength=len(held))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+
+        # one row per cell that has visitors
+        seen = asked.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        parts = np.zeros(len(held), np.int64)
+        for s in seen:
+            parts[s["cell"]] = -(-s["n"] // VISITORS)
+
+        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 512):
+                    batch = whole.slice(at, 512)
+                    row, cell = reach(batch, first)
+                    part = batch.column(0).to_numpy()[row] % parts[cell]
+                    times = tiles[cell]
+                    tile = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+                    row, cell, part = (np.repeat(x, times) for x in (row, cell, part))
+                    yield pa.RecordBatch.from_arrays([pa.array((cell << 40) | (tile << 20) | part), *batch.take(pa.array(row)).columns], ["key", "q", "qvec", "bound"])
+
+        qkind = T.StructType([T.StructField("key", T.LongType()), *asked.schema.fields])
+        visits = asked.mapInArrow(visit, qkind)
+        plan = spark.createDataFrame([(int(c), int(tiles[c]), int(parts[c])) for c in np.flatnonzero(parts)], "cell bigint, tiles int, parts int")
+        dealt = placed.join(F.broadcast(plan), "cell").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")))
+        dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = dealt.select(F.expr("shiftleft(cell, 40) | shiftleft(tile, 20) | part").alias("key"), "id", "vec", "leaf", "far")
+
+        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            out = [pd.DataFrame({"q": [], "id": [], "d": []}).astype({"q": "int64", "id": "int64"})]
+            if len(left) and len(right):
+                ids, qids = right["id"].to_numpy(), left["q"].to_numpy()
+                tile = Tile(tree.value, ids, unit(right["vec"]), right["leaf"].to_numpy(), right["far"].to_numpy(), k, scored)
+                for at in range(0, len(left), 1024):
+                    part = left.iloc[at : at + 1024]
+                    qi, ci, d = tile.search(unit(part["qvec"]), part["bound"].to_numpy())
+                    out.append(pd.DataFrame({"q": qids[at + qi], "id": tile.ids[ci], "d": d}))
+            return pd.concat(out)
+
+        return visits.groupBy("key").cogroup(dealt.groupBy("key")).applyInPandas(search, SCHEMA)
+
+    order = [F.asc("d"), F.desc("id")]
+    near = cut_lineage(top_k(found(queries.withColumn("bound", F.lit(FAR)), True), ["q"], order, k, "r"))
+    bounds = near.filter(F.col("r") == k).select("q", F.col("d").alias("bound"))
+    asked = queries.join(bounds, "q", "left").select("q", "qvec", F.coalesce("bound", F.lit(FAR)).alias("bound"))
+    return top_k(near.drop("r").unionByName(found(asked, False)), ["q"], order, k, "r")
 
 
 def knn_below(queries: DataFrame, items: DataFrame, k: int, maximum: float) -> DataFrame:

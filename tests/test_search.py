@@ -11,24 +11,52 @@ from mediaspark.plans import bindings
 def brute(q, x, k):
     rows = []
     for qi, qv in q:
-        d = [(round(1 - float(np.dot(qv, v) / np.linalg.norm(qv) / np.linalg.norm(v)), 9), -i) for i, v in x]
+        d = [(round(1 - float(np.dot(qv, v) / (np.linalg.norm(qv) * np.linalg.norm(v) or 1)), 9), -i) for i, v in x]
         rows += [(qi, -i, r + 1) for r, (_, i) in enumerate(sorted(d)[:k])]
     return sorted(rows)
 
 
-@pytest.mark.parametrize("block", [1000, 5])
-def test_knn(spark, block):
+def near_frames(spark, q, x):
+    return spark.createDataFrame(q, "q bigint, qvec array<double>"), spark.createDataFrame(x, "id bigint, vec array<double>")
+
+
+@pytest.mark.parametrize("leaf, cell, tile", [(64, 1000, 1000), (5, 40, 7)])
+def test_knn(spark, leaf, cell, tile):
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(4, 8)) * 3
     x = [(i, (centre[0 if i % 3 == 0 else i % 4] + rng.normal(size=8) * 0.2).tolist()) for i in range(300)]
-    x[7] = (7, x[6][1])  # an exact tie
+    for i in (7, 8, 9, *range(100, 130)):
+        x[i] = (i, x[6][1])  # exact ties, more than k
+    x[20] = (20, [0.0] * 8)
     q = x[:40]
-    qs = spark.createDataFrame(q, "q bigint, qvec array<double>")
-    xs = spark.createDataFrame(x, "id bigint, vec array<double>")
-    got = knn.knn(qs, xs, 9, query_block=block, cell_rows=20).collect()
+    got = knn.knn(*near_frames(spark, q, x), 9, leaf_rows=leaf, cell_rows=cell, tile_rows=tile).collect()
     assert sorted((r.q, r.id, r.r) for r in got) == brute(q, x, 9)
 
 
+def test_knn_of_few_items_and_none(spark):
+    x = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None)]
+    qs, xs = near_frames(spark, [*x, (4, [1.0, 1.0])], x)
+    assert sorted((r.q, r.id, r.r) for r in knn.knn(qs, xs, 5).collect()) == [(1, 1, 1), (1, 2, 2), (2, 1, 2), (2, 2, 1), (4, 1, 2), (4, 2, 1)]
+    assert knn.knn(qs, xs.filter("id = 3"), 5).count() == 0 and knn.knn(qs.filter("q = 3"), xs, 5).count() == 0
+
+
+def test_knn_scores_few_pairs(spark):
+    """50,000 vectors in clusters, each a query: under five percent of all pairs are scored."""
+    rng = np.random.default_rng(11)
+    n = 50_000
+    x = rng.normal(size=(250, 32))[rng.integers(0, 250, n)] + 0.15 * rng.normal(size=(n, 32))
+    rows = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "vec": x.tolist()}), "id bigint, vec array<double>").repartition(8)
+    scored = spark.sparkContext.accumulator(0)
+    got = knn.knn(rows.selectExpr("id AS q", "vec AS qvec"), rows, 10, scored=scored).toPandas()
+    assert 0 < scored.value < 0.05 * n * n
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, n, 5000):
+        d = np.round(1 - u @ u[q], 9)
+        want = np.lexsort((-np.arange(n), d))[:10]
+        own = got[got.q == q].sort_values("r")
+        assert np.allclose(own.d, d[want], atol=2e-9) and set(own.id) == set(want)
+
+
 ITEM = """id bigint, status string, hidden boolean, kind string, title string, template string, song string, tags array<string>,
 people array<string>, ocr_text string, description string, transcript string, sounds array<string>, objects array<string>, caption string"""
 
