@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.media import gradient_hash, hash_text
 from ..functions.text import tokens
-from ..scale import spread
+from ..scale import broadcast_if_small, spread
 from ..session import cut_lineage
 
 TEXT_TABLES = ("documents", "pages", "conversations")
@@ -53,6 +53,8 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("doc_id")
         .agg((F.max("toxic") == 1).alias("toxic"))
     )
+    # a small side spares the whole texts a shuffle
+    flags = broadcast_if_small(flags)
     docs = table(spark, sf_dir, "documents")
     i = F.col("doc_id")
     status = (

@@ -1,5 +1,7 @@
 """Search and similarity against brute force, with the skew paths forced."""
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -120,13 +122,24 @@ def skewed(spark, n=120):
     return rows, frame(spark, rows)
 
 
-def test_sim_tags_tiles_equal_join(spark):
+@pytest.mark.parametrize("hot, entries, part", [(5000, 10**6, 512), (8, 10**6, 512), (8, 5, 3), (1, 5, 3)])
+def test_sim_tags_is_brute_force(spark, monkeypatch, hot, entries, part):
+    """Lists of every size: only lists, lists and common tags, (nearly) only common tags."""
+    monkeypatch.setattr(similar, "LIST_ROWS", entries)
+    monkeypatch.setattr(similar, "LIST_PART", part)
     rows, df = skewed(spark)
-    stats = similar.tag_stats(df)
-    whole = similar.sim_tags(df, stats, max_share=0.5, k=7).toPandas()
-    tiled = similar.sim_tags(df, stats, max_share=0.5, k=7, hot_rows=8).toPandas()
-    order = ["id", "r"]
-    pd.testing.assert_frame_equal(whole.sort_values(order, ignore_index=True), tiled.sort_values(order, ignore_index=True), check_dtype=False)
+    got = similar.sim_tags(df, similar.tag_stats(df), max_share=0.5, k=7, hot_rows=hot).collect()
+    shown = {r["id"]: set(r["tags"]) for r in rows if not r["hidden"]}
+    n = Counter(t for tags in shown.values() for t in tags)
+    want = []
+    for r in rows:
+        mine = sorted((n[t], t) for t in set(r["tags"]) if 1 < n[t] <= 0.5 * len(shown))[:12]
+        sums = [(round(sum(np.log(len(shown) / c) for c, t in mine if t in tags), 9), o) for o, tags in shown.items() if o != r["id"]]
+        best = sorted(((s, o) for s, o in sums if s > 0), key=lambda x: (-x[0], -x[1]))[:7]
+        want += [(r["id"], o, i + 1, s) for i, (s, o) in enumerate(best)]
+    got = sorted((r["id"], r["other"], r["r"], r["s"]) for r in got)
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=2e-9)
 
 
 @pytest.mark.parametrize("hot", [5000, 5])
