@@ -8,9 +8,10 @@ words of the text no longer than the search has words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,11 @@ from ..scale import top_k
 
 THRESHOLD = 0.35
 CANDIDATES = 240
-QUERY_BLOCK = 1000
-WORD_CACHE = 200_000
+SEARCHES = 200_000  # in one pass over the texts
+QUERY_BLOCK = 256
+BLOCKS_KEPT = 16
+WORDS = 30_000  # of texts scored at once
+CELLS = 4_000_000  # masks of words x searches at once
 
 
 def fuzzy_queries(queries: DataFrame) -> DataFrame:
@@ -48,71 +52,99 @@ class _Block:
     def __init__(self, rows: list[tuple[int, list[str]]]) -> None:
         self.ids = np.array([q for q, _ in rows])
         self.runs = np.array([len(w) for _, w in rows])
-        self.sizes = np.zeros(len(rows))
-        self.bits: dict[str, np.ndarray] = {}
-        for j, (_, words) in enumerate(rows):
-            grams = sorted(set().union(*(trigrams(w) for w in words)))
-            self.sizes[j] = len(grams)
-            for i, gram in enumerate(grams):
-                row = self.bits.setdefault(gram, np.zeros(len(rows), dtype=np.uint64))
-                row[j] |= np.uint64(1) << np.uint64(i)
-        self.cache: dict[str, np.ndarray | None] = {}
-
-    def mask(self, word: str) -> np.ndarray | None:
-        if word not in self.cache:
-            if len(self.cache) >= WORD_CACHE:
-                self.cache.clear()
-            found = [self.bits[g] for g in trigrams(word) if g in self.bits]
-            self.cache[word] = np.bitwise_or.reduce(found) if found else None
-        return self.cache[word]
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Best share per search over all runs of neighbouring words."""
-        out = np.zeros(len(self.ids))
-        hits = [(i, m) for i, w in enumerate(words) if (m := self.mask(w)) is not None]
-        if not hits:
-            return out
-        grid = np.zeros((len(words), len(self.ids)), dtype=np.uint64)
-        grid[[i for i, _ in hits]] = np.stack([m for _, m in hits])
-        for run in np.unique(self.runs):
-            cols = np.nonzero(self.runs == run)[0]
-            part = grid[:, cols]
-            joined = part.copy()
-            for shift in range(1, int(run)):
-                if shift < len(words):
-                    joined[:-shift] |= part[shift:]
-            out[cols] = np.bitwise_count(joined).max(axis=0) / self.sizes[cols]
+        grams = [sorted(set().union(*map(trigrams, words))) for _, words in rows]
+        self.sizes = np.array(list(map(len, grams)))
+        self.row = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+        self.bits = np.zeros((len(self.row), len(rows)), np.uint64)
+        for j, own in enumerate(grams):
+            self.bits[[self.row[g] for g in own], j] = np.uint64(1) << np.arange(len(own), dtype=np.uint64)
+
+    def masks(self, grams: list[set[str]]) -> np.ndarray:
+        """Trigrams of each search that each word has: one row per word."""
+        row = self.row
+        at = [[row[g] for g in own if g in row] for own in grams]
+        size = np.fromiter(map(len, at), np.int64, len(at))
+        some = np.flatnonzero(size)
+        out = np.zeros((len(grams), len(self.ids)), np.uint64)
+        for k in range(0, len(some), 4096):
+            part = some[k : k + 4096]
+            flat = np.fromiter((i for w in part for i in at[w]), np.int64, int(size[part].sum()))
+            out[part] = np.bitwise_or.reduceat(self.bits[flat], np.cumsum(size[part]) - size[part], axis=0)
         return out
 
+    def scores(self, masks: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best share of each search in a run of neighbouring words: one row per item.
+
+        ``words`` are rows of ``masks``, ``item`` the item of each word, ``first`` where items begin (none is empty).
+        """
+        out = np.zeros((len(first), len(self.ids)))
+        step = max(1, CELLS // len(words))
+        for run in np.unique(self.runs):
+            of_run = np.flatnonzero(self.runs == run)
+            for k in range(0, len(of_run), step):
+                cols = of_run[k : k + step]
+                own = masks[:, cols]
+                joined = own[words]
+                for shift in range(1, min(int(run), len(words))):
+                    same = (item[shift:] == item[:-shift])[:, None]
+                    joined[:-shift] |= np.where(same, own[words[shift:]], np.uint64(0))
+                out[:, cols] = np.maximum.reduceat(np.bitwise_count(joined), first, axis=0) / self.sizes[cols]
+        return np.round(out, 9)
+
 
 def fuzzy_scores(items: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``q, id, score`` of every pair at or above the threshold.
 
-    The batch of searches travels to the data, in blocks of bounded size; the
-    texts are read once per block and never shuffled.
+    The stated searches (40 characters each at most) travel to the texts, up to
+    ``SEARCHES`` of them in one pass; a task scores them in blocks.  A batch of
+    texts is coded by its distinct words, a word's masks are made once for a
+    block, and runs of words are joined and counted for all texts at once.
+    Texts are never shuffled.
     """
-    texts = items.select("id", tokens(search_text()).alias("words"))
-    fit = fuzzy_queries(queries)
-    blocks = -(-fit.count() // QUERY_BLOCK)
-    out = None
-    for i in range(max(1, blocks)):
-        part = fit if blocks <= 1 else fit.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i)
-        rows = [(r.q, list(r.words)) for r in part.collect()]
-        if not rows:
-            continue
-
-        def score(batches: Iterator[pd.DataFrame], rows=rows) -> Iterator[pd.DataFrame]:
-            block = _Block(rows)
-            for pdf in batches:
-                for item, words in zip(pdf["id"], pdf["words"], strict=True):
-                    got = np.round(block.scores(list(words)), 9)
-                    keep = np.nonzero(got >= threshold)[0]
-                    if len(keep):
-                        yield pd.DataFrame({"q": block.ids[keep], "id": item, "score": got[keep]})
-
-        found = texts.mapInPandas(score, "q bigint, id bigint, score double")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else items.sparkSession.createDataFrame([], "q bigint, id bigint, score double")
+    texts = items.select("id", tokens(search_text()).alias("words")).filter("size(words) > 0")
+    asked: list[tuple[int, list[str]]] = []
+    found = []
+
+    def score(rows: list[tuple[int, list[str]]]) -> DataFrame:
+        stated = items.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = stated.value
+            parts = [every[k : k + QUERY_BLOCK] for k in range(0, len(every), QUERY_BLOCK)]
+            kept = [_Block(p) for p in parts[:BLOCKS_KEPT]]
+            for ids, words, vocabulary, first in _pieces(batches):
+                grams = list(map(trigrams, vocabulary))
+                item = np.repeat(np.arange(len(first)), np.diff(first, append=len(words)))
+                for k, part in enumerate(parts):
+                    block = kept[k] if k < len(kept) else _Block(part)
+                    share = block.scores(block.masks(grams), words, item, first)
+                    i, j = np.nonzero(share >= threshold)
+                    if len(i):
+                        yield pa.RecordBatch.from_arrays([pa.array(block.ids[j]), ids.take(pa.array(i)), pa.array(share[i, j])], ["q", "id", "score"])
+
+        return texts.mapInArrow(run, "q bigint, id bigint, score double")
+
+    for r in fuzzy_queries(queries).toLocalIterator():
+        asked.append((r.q, list(r.words)))
+        if len(asked) == SEARCHES:
+            found.append(score(asked))
+            asked = []
+    if asked:
+        found.append(score(asked))
+    none = items.sparkSession.createDataFrame([], "q bigint, id bigint, score double")
+    return reduce(DataFrame.unionByName, found) if found else none
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, list[str], np.ndarray]]:
+    """Whole items of about ``WORDS`` words: ids, words as numbers, the distinct words, where items begin."""
+    for batch in batches:
+        offsets = np.asarray(batch.column(1).offsets)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + WORDS, "right")) - 1)
+            coded = batch.column(1).slice(at, to - at).flatten().dictionary_encode()
+            yield batch.column(0).slice(at, to - at), coded.indices.to_numpy(), coded.dictionary.to_pylist(), offsets[at:to] - offsets[at]
+            at = to
 
 
 def fuzzy_match(items: DataFrame, queries: DataFrame, limit: int = CANDIDATES, threshold: float = THRESHOLD) -> DataFrame:

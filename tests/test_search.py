@@ -102,6 +102,30 @@ def test_cover_density_prefers_close_words(spark):
     assert got[2] == pytest.approx(s / (s + 1)) and got[1] < got[2]
 
 
+def test_fuzzy_is_brute_force(spark, monkeypatch):
+    """Small blocks of searches, words and cells; texts of no word, of one and of many."""
+    for name, n in (("SEARCHES", 5), ("QUERY_BLOCK", 2), ("BLOCKS_KEPT", 1), ("WORDS", 6), ("CELLS", 8)):
+        monkeypatch.setattr(fuzzy, name, n)
+    rng = np.random.default_rng(8)
+    vocabulary = ["distracted", "boyfriend", "distant", "friend", "cat", "catalog", "boy", "strange", "ça", "trend"]
+    texts = ["", "cat", *(" ".join(rng.choice(vocabulary, rng.integers(1, 12))) for _ in range(25))]
+    asked = ["distractd boyfrend", "cat", "catalg", "strange trend boy cat", "zzzz", "ça va bien", "friend", "boy boy boy", "dist friend", "a b c d e", "stranger"]
+    q = spark.createDataFrame(list(enumerate(asked)), "q bigint, text string")
+    got = sorted((r.q, r.id, r.score) for r in fuzzy.fuzzy_scores(frame(spark, [item(i, t) for i, t in enumerate(texts)]), q).collect())
+    want = []
+    for k, text in enumerate(asked):
+        words = text.split()
+        if not 4 <= len(text) <= 40 or len(words) > 4:
+            continue
+        grams = set().union(*map(fuzzy.trigrams, words))
+        for i, t in enumerate(texts):
+            w = t.split()
+            share = max((len(grams & set().union(*map(fuzzy.trigrams, w[j : j + len(words)]))) / len(grams) for j in range(len(w))), default=0)
+            if round(share, 9) >= 0.35:
+                want.append((k, i, round(share, 9)))
+    assert len(want) > 20 and got == sorted(want)
+
+
 def test_fuzzy_finds_misspelling(spark):
     docs = frame(spark, [item(1, "distracted boyfriend looks back"), item(2, "nothing here")])
     q = spark.createDataFrame([(1, "distractd boyfrend"), (2, "abc"), (3, "five words are too many")], "q bigint, text string")
