@@ -86,6 +86,20 @@ def test_excluded_words_alone(spark):
     assert [(r.id, r.score) for r in ranked] == [(4, 0.0), (3, 0.0)]
 
 
+def test_searches_meet_items_by_equal_keys(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "STATED", 2)
+    docs = frame(spark, [item(i, f"salt w{i} " + "wind " * (i % 3)) for i in range(30)])
+    asked = [(1, "-w1"), (2, "-w2 -wind"), (3, "salt wind w4"), (4, "-salt"), (5, "nowhere salt"), (6, "w5 or salt w7")]
+    found = fulltext.fts_match(docs, spark.createDataFrame(asked, "q bigint, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    got = {}
+    for r in found.filter("config = 'simple'").collect():
+        got.setdefault(r.q, set()).add(r.id)
+    whole = set(range(30))
+    assert got == {1: whole - {1}, 2: {i for i in whole if i % 3 == 0}, 3: {4}, 6: {5, 7}}
+
+
 def test_full_text_syntax(spark):
     docs = frame(spark, [item(1, "big cats sleeping"), item(2, "sleeping dog cat"), item(3, "quick brown fox"), item(4, "brown quick fox")])
     q = spark.createDataFrame([(1, "cat sleep"), (2, '"quick brown"'), (3, "dog or brown"), (4, "fox -dog"), (5, "sleeping -dog")], "q bigint, text string")
