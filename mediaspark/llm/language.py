@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .names import all_of
@@ -29,17 +30,17 @@ from .names import all_of
 MARK = "▁"
 RUN = re.compile(r"[^\W\d_]+")
 SEGMENT = 30
-LONGEST = 8
 PER_LANG = 1000
 ROUNDS = 3
 UNKNOWN = 1e-7
+SPARE = -2 * np.log(UNKNOWN)  # two letters outside the vocabulary are free
 KNOWN = 200_000
 BASE = np.uint64(0x100000001B3)
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
 def piece_list(model_path: str) -> list[str]:
-    """Lower-case letter pieces of the vocabulary, with or without the word mark, up to ``LONGEST`` characters."""
+    """All lower-case letter pieces of the vocabulary, with or without the word mark."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -47,7 +48,7 @@ def piece_list(model_path: str) -> list[str]:
     for i in range(model.get_piece_size()):
         p = model.id_to_piece(i)
         body = p.removeprefix(MARK)
-        if body.isalpha() and body == body.lower() and len(p) <= LONGEST:
+        if body.isalpha() and body == body.lower():
             out.add(p)
     return sorted(out)
 
@@ -67,7 +68,8 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
-        for size in range(1, LONGEST + 1):
+        self.longest = max(map(len, pieces), default=1)
+        for size in range(1, self.longest + 1):
             own = [i for i, p in enumerate(pieces) if len(p) == size]
             codes = np.array([[ord(c) for c in pieces[i]] for i in own], np.uint64).reshape(len(own), size)
             value = np.zeros(len(own), np.uint64)
@@ -85,7 +87,7 @@ class Lattice:
         out: list[list[np.ndarray]] = []
         for start in range(n):
             value, row = np.zeros(len(words), np.uint64), []
-            for size in range(1, min(LONGEST, n - start) + 1):
+            for size in range(1, min(self.longest, n - start) + 1):
                 value = value * BASE + codes[:, start + size - 1]
                 keys, ids = self.tables[size - 1]
                 if len(keys):
@@ -150,16 +152,22 @@ def normalised(counts: np.ndarray, smooth: float = 0.1) -> np.ndarray:
     return np.vstack([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])
 
 
-def fit(labelled: DataFrame, model_path: str, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> Model:
-    """Piece probabilities from ``doc_id, text, lang`` rows (rows with a null are left out)."""
+def _sample(labelled: DataFrame, per_lang: int) -> tuple[list[str], DataFrame]:
+    """Languages in order, and about ``per_lang`` rows ``doc_id, text, lang`` of each."""
     rows = labelled.dropna(subset=["doc_id", "text", "lang"]).select("doc_id", "text", "lang")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    langs, pieces = sorted(sizes), piece_list(model_path)
-    if not langs:
-        return Model([], pieces, np.zeros((len(pieces) + 2, 0)))
+    langs = sorted(sizes)
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) / 1_000_003
-    sample = rows.filter(draw < share[F.col("lang")])
+    return langs, rows.filter(draw < share[F.col("lang")]) if langs else rows
+
+
+def fit(labelled: DataFrame, model_path: str, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> Model:
+    """Piece probabilities from ``doc_id, text, lang`` rows (rows with a null are left out)."""
+    langs, sample = _sample(labelled, per_lang)
+    pieces = piece_list(model_path)
+    if not langs:
+        return Model([], pieces, np.zeros((len(pieces) + 2, 0)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,7 +215,7 @@ class Scorer:
     def reset(self) -> None:
         self.row: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.model.langs)))
-        self.letters = np.zeros(0, bool)
+        self.letters = np.zeros(0, np.int64)
 
     def learn(self, tables: list[Counter]) -> None:
         if len(self.row) > self.most:
@@ -221,43 +229,67 @@ class Scorer:
             np.add.at(own, np.repeat(np.arange(len(new)), sizes), self.lattice.log_likelihood(flat, self.model.p))
         self.row.update(zip(new, range(len(self.row), len(self.row) + len(new)), strict=True))
         self.scores = np.vstack([self.scores, own])
-        self.letters = np.concatenate([self.letters, sizes > 0])
+        self.letters = np.concatenate([self.letters, [sum(map(str.isalpha, w)) for w in new]]).astype(np.int64)
 
-    def predict(self, table: Counter) -> tuple[str, float]:
+    def predict(self, table: Counter) -> tuple[str, float, float | None]:
+        """Language, its share, and its log likelihood per letter with ``SPARE`` for odd letters (null without a letter)."""
         at = np.fromiter((self.row[w] for w in table), np.int64, len(table))
         if not self.model.langs or not self.letters[at].any():
-            return "und", 0.0
-        total = np.fromiter(table.values(), float, len(table)) @ self.scores[at]
-        total -= total.max()
+            return "und", 0.0, None
+        times = np.fromiter(table.values(), float, len(table))
+        total = times @ self.scores[at]
+        best = float(total.max())
+        total -= best
         share = np.exp(total) / np.exp(total).sum()
-        return self.model.langs[int(total.argmax())], float(share.max())
+        return self.model.langs[int(total.argmax())], float(share.max()), (best + SPARE) / float(times @ self.letters[at])
 
 
-def predict(docs: DataFrame, model: Model, block: int = 256) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (of such names, the given columns are replaced).
+def predict(docs: DataFrame, model: Model, block: int = 256, per_letter: bool = False) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``, and ``per_letter`` if asked for (given columns of such names are replaced).
 
-    A text that is null or has no letter is ``und`` with score 0; ties go to
-    the first language in order.
+    A text that is null or has no letter is ``und`` with score 0 and a null
+    ``per_letter``; ties go to the first language in order.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("per_letter", T.DoubleType())][: 3 if per_letter else 2]
+    kept = [c for c in docs.columns if c.lower() not in {f.name for f in made}]
     known = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.p))
     at = kept.index("text")
+    # columns travel under plain names, so any name passes through
+    plain = docs.select(*all_of(kept)).toDF(*(f"c{i}" for i in range(len(kept))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(Model(*known.value))
+        kinds = [pa.string(), pa.float64(), pa.float64()][: len(made)]
         for batch in batches:
             for i in range(0, batch.num_rows, block):
                 part = batch.slice(i, block)
                 tables = [Counter(RUN.findall((t or "").lower())) for t in part.column(at).to_pylist()]
                 scorer.learn(tables)
                 found = [scorer.predict(t) for t in tables]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                    [*kept, "lang_pred", "score"],
-                )
+                new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [*part.schema.names, *(f.name for f in made)])
+
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *made])).toDF(*kept, *(f.name for f in made))
+
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*all_of(kept)).schema)
-    return docs.select(*all_of(kept)).mapInArrow(run, f"{schema}, lang_pred string, score double")
+def floors(labelled: DataFrame, model: Model, per_lang: int = PER_LANG) -> dict[str, float]:
+    """The least likelihood per letter of each language, from about ``per_lang`` of its labelled documents.
+
+    It lies as far under the lowest thousandth of them as that lies under their middle.
+    """
+    found = predict(_sample(labelled, per_lang)[1], model, per_letter=True).filter("lang = lang_pred")
+    at = found.groupBy("lang").agg(F.percentile_approx("per_letter", [0.001, 0.5], 10_000).alias("p")).collect()
+    return {r.lang: 2 * r.p[0] - r.p[1] for r in at}
+
+
+def known_language(docs: DataFrame, model: Model, least: dict[str, float]) -> DataFrame:
+    """Rows whose text is in one of the model's languages: ``docs`` with ``lang_pred``, ``score`` and ``per_letter``.
+
+    Out go texts that are null or have no letter, and those whose likelihood per
+    letter is under the floor of the best language (of no floor: none is in).
+    """
+    floor = F.create_map(*[F.lit(x) for pair in least.items() for x in pair]) if least else F.create_map(F.lit(""), F.lit(0.0))
+    return predict(docs, model, per_letter=True).filter(F.col("per_letter") >= floor[F.col("lang_pred")])
 
 
 def held_out() -> Column:

@@ -88,6 +88,38 @@ def test_language_sums_segmentations():
     assert abs(sum(expected[i] * len(q) for i, q in enumerate(pieces)) - 8) < 1e-9
 
 
+def test_language_uses_pieces_of_any_length():
+    pieces = sorted(["▁", *"abcdefghijklmnop", "cdefghijk", "▁abcdefghijklmno"])
+    lattice = language.Lattice(pieces)
+    assert lattice.longest == 16
+    flat = language.normalised(language.np.ones((len(pieces), 1)), 0.0)
+    raised = flat.copy()
+    raised[pieces.index("cdefghijk")] *= 1000
+    for word in ("▁abcdefghijkl", "▁acdefghijk"):
+        assert lattice.log_likelihood([word], raised)[0, 0] > lattice.log_likelihood([word], flat)[0, 0]
+    raised = flat.copy()
+    raised[pieces.index("▁abcdefghijklmno")] *= 1000
+    assert lattice.log_likelihood(["▁abcdefghijklmnop"], raised)[0, 0] > lattice.log_likelihood(["▁abcdefghijklmnop"], flat)[0, 0]
+    assert max(map(len, language.piece_list(PIECES))) == 16
+
+
+def test_language_rejects_what_was_not_learned(spark, sf):
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(table, PIECES, per_lang=80)
+    least = language.floors(table, model, per_lang=80)
+    assert set(least) == set(model.langs)
+    lettered = table.filter("text rlike '[A-Za-zÀ-ÿ]'").count()
+    assert language.known_language(table, model, least).count() >= 0.995 * lettered
+    other = [
+        "Minä olen suomalainen ja puhun kieltä jota harvat ymmärtävät täällä kaukana pohjoisessa maassa",
+        "Wszystkie kraje świata mają swoje własne zwyczaje i tradycje kulinarne oraz wspaniałe krajobrazy",
+        "Это русский текст о погоде и природе", "qxzv kjwq zzxq vbnm qwrt plkj hgfd wrtz xcvb", "漢字かな混じり文", "1234 ...", "", None,
+    ]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(other)], "doc_id long, text string, Lang_Pred string")
+    assert language.known_language(rows, model, least).count() == 0
+    assert language.known_language(table, model, {}).count() == 0
+
+
 def test_language_on_held_out_documents(spark, sf, docs, nothing):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     found = language.identify(table, PIECES, per_lang=60).join(table.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
