@@ -18,7 +18,8 @@ ones in tiles; none is dropped or capped.
 
 Inside a bucket, members can only be similar if their sizes allow it and the
 128-bit maps of their samples differ in few places (five standard deviations
-over what a pair at the threshold shows); connected remains become groups.
+over what a pair of these sizes at the threshold shows, each sample at its own
+rate); connected remains become groups.
 Groups inside another are dropped, and a pair of classes that shares several
 groups counts in the first only, so links are exact counts.
 """
@@ -129,8 +130,8 @@ def _leaves(classes: DataFrame) -> DataFrame:
             done.append(large.select("_path", "_class"))
             break
         large = large.join(classes.select("_class", "_sample"), "_class")
-        # average share of a bucket that has a member's last sampled token (starts are first ones): a sum over tokens, not over pairs
-        probe = large.select("_path", F.element_at("_sample", -1).alias("_t"))
+        # how often two members have the same least token under the path, about their likeness: a sum over tokens, not over pairs
+        probe = large.select("_path", F.array_min(F.transform("_sample", lambda t: F.xxhash64(t, F.col("_path")))).alias("_t"))
         met = probe.groupBy("_path", "_t").agg(F.count(F.lit(1)).alias("_k"))
         alike = met.groupBy("_path").agg((F.sum(F.col("_k") * F.col("_k")) / F.sum("_k") / F.sum("_k")).alias("_alike"))
         large = cut_lineage(large.join(alike, "_path").select("_path", "_class", "_alike"))
@@ -150,7 +151,7 @@ def _groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in runs(batches, 1):
-            path, n, own, sample, low, high = (table.column(i).to_numpy() for i in range(6))
+            path, n, own, low, high = (table.column(i).to_numpy() for i in range(5))
             n, low, high = n.astype(np.int64), low.view(U), high.view(U)
             size = np.diff(np.append(np.flatnonzero(np.append(True, path[1:] != path[:-1])), len(path)))
             dense = np.repeat(size > DENSE, size)
@@ -162,7 +163,10 @@ def _groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
                 ok = (path[live] == path[other]) & (5 * n[live] >= 4 * n[other])
                 live, other = live[ok], other[ok]
                 differ = np.bitwise_count(low[live] ^ low[other]).astype(np.int64) + np.bitwise_count(high[live] ^ high[other])
-                expected = (sample[live] + sample[other]) / 9
+                # differences of two samples, each at its own rate, of a pair at the threshold; sizes ascend in a path
+                fewer, more = n[live], n[other]
+                rate = np.minimum(1.0, SAMPLE / more)
+                expected = np.minimum(fewer, SAMPLE) + np.minimum(more, SAMPLE) - 8 * (fewer + more) / 9 * rate
                 fits = (differ <= expected + 5 * np.sqrt(expected) + 1) | dense[live]
                 a.append(live[fits])
                 b.append(other[fits])
@@ -172,8 +176,8 @@ def _groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
             at, gid, count = group_ids(own, label)
             yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(count), pa.array(own[at])], ["_gid", "_size", "_class"])
 
-    own = classes.select("_class", "_n", F.size("_sample").alias("_s"), "_map0", "_map1")
-    rows = leaves.join(own, "_class").select("_path", "_n", "_class", "_s", "_map0", "_map1")
+    own = classes.select("_class", "_n", "_map0", "_map1")
+    rows = leaves.join(own, "_class").select("_path", "_n", "_class", "_map0", "_map1")
     found = rows.repartition("_path").sortWithinPartitions("_path", "_n", "_class").mapInArrow(run, schema).distinct()
     return outermost(cut_lineage(found))
 

@@ -245,3 +245,29 @@ def test_similar_documents_match_brute_force(docs, nothing, monkeypatch):
     monkeypatch.setattr(jaccard, "ALIKE", 2.0)
     check()
     assert jaccard.similar_documents(nothing).count() == 0
+
+
+def test_nested_pairs_are_found(spark, tmp_path):
+    """Sets of 800 shingles inside sets of 1,000: exactly at the threshold, sampled at two rates."""
+    rows = []
+    for k in range(120):
+        words = [f"w{k}x{i}" for i in range(1004)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[100:904]))]
+    path = str(tmp_path / "nested")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(path)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar_documents(spark.read.parquet(path)).collect()}
+    assert got == {d: (d - d % 2, 1) for d, _ in rows}
+
+
+def test_crowds_of_near_copies_are_not_split(spark):
+    """Members of one likeness count as alike whatever their last sampled token is."""
+    rows = []
+    for k in range(400):
+        words = [f"w{i}" for i in range(300 + k % 40)]
+        words[(7 * k) % 280] = f"changed{k}"
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sampled = jaccard._sampled(jaccard._keyed(docs), 5)
+    leaves = jaccard._leaves(sampled)
+    # a row for each start that a member shares, and no more by splitting
+    assert leaves.count() <= 400 * jaccard.STARTS * 1.5
