@@ -44,11 +44,16 @@ def login_throttle(events: DataFrame, limit: int = 10, life: str = "15 minutes")
 def throttle_with_clear(events: DataFrame, limit: int = 10, life_seconds: int = 900) -> DataFrame:
     """K2 with the full rule: a good login clears the count (``caller, ts, seq, failed``).
 
-    Emits per call whether it is refused.  State per caller: failures and the
-    time they expire.
+    Emits per call whether it is refused.  The state of a caller is the number of
+    failures and the time they expire; it ends when they are cleared, or when the
+    watermark passes that time, since a later call starts from nothing anyway.
     """
+    life = life_seconds * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         count, until = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
         refused = []
@@ -59,16 +64,25 @@ def throttle_with_clear(events: DataFrame, limit: int = 10, life_seconds: int =
             refused.append(block)
             if not block:
                 count = count + 1 if failed else 0
-                until = at + life_seconds * 1_000_000 if failed else 0
-        state.update((int(count), int(until)))
+                until = at + life if failed else 0
+        _keep(state, (int(count), int(until)) if count else None, until)
         yield pd.DataFrame({"caller": key[0], "seq": rows["seq"], "refused": refused})
 
-    keyed = events.select("caller", F.unix_micros("ts").alias("at"), "seq", "failed")
+    keyed = marked(events).select("caller", "ts", F.unix_micros("ts").alias("at"), "seq", "failed")
     return keyed.groupBy("caller").applyInPandasWithState(
-        step, "caller bigint, seq bigint, refused boolean", "count long, until long", "append", GroupStateTimeout.NoTimeout
+        step, "caller bigint, seq bigint, refused boolean", "count long, until long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
+def _keep(state: GroupState, value: tuple | None, until_us: int) -> None:
+    """Hold ``value`` until the watermark passes ``until_us``; None ends the state."""
+    if value is not None:
+        state.update(value)
+        state.setTimeoutTimestamp(max(-(-int(until_us) // 1000), state.getCurrentWatermarkMs() + 1))
+    elif state.exists:
+        state.remove()
+
+
 def rate_10m(events: DataFrame) -> DataFrame:
     """K3: finished items per minute over the last ten minutes, every minute."""
     w = F.window("ts", "10 minutes", "1 minute").alias("w")
@@ -81,8 +95,9 @@ def debounce(events: DataFrame, every: int = 60) -> DataFrame:
 
     A change during the pause after a bump causes one more when the pause
     ends; that time is known at once, so no timer is needed.  The state is
-    the last bump, which may lie ahead.  Before the shuffle each task keeps
-    one row per scope and second, so a busy scope sends seconds, not events.
+    the last bump, which may lie ahead; it ends when the watermark passes the
+    pause after it, since a later change is a bump of its own.  Before the shuffle each
+    task keeps one row per scope and second, so a busy scope sends seconds, not events.
     """
 
     def thin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,6 +105,9 @@ def debounce(events: DataFrame, every: int = 60) -> DataFrame:
             yield pdf.drop_duplicates(["scope", "second"])
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         seen: set[int] = set()
         for pdf in batches:
@@ -103,15 +121,17 @@ def debounce(events: DataFrame, every: int = 60) -> DataFrame:
             else:
                 continue
             bumps.append(last)
-        if last is not None:
-            state.update((last,))
+        _keep(state, (last,), (last + 2 * every) * 1_000_000)
         yield pd.DataFrame({"scope": [key[0]] * len(bumps), "bump": pd.Series(bumps, dtype="int64")})
 
-    seconds = events.select("scope", F.floor(F.unix_micros("ts") / 1_000_000).alias("second"))
+    # the watermark runs on the end of the pause that a change would start
+    ends = (F.col("ts") + F.make_dt_interval(secs=F.lit(every))).alias("ts")
+    seconds = events.select("scope", ends, F.floor(F.unix_micros("ts") / 1_000_000).alias("second"))
+    thinned = seconds.mapInPandas(thin, "scope string, ts timestamp, second bigint")
     return (
-        seconds.mapInPandas(thin, "scope string, second bigint")
+        marked(thinned)
         .groupBy("scope")
-        .applyInPandasWithState(step, "scope string, bump bigint", "last long", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(step, "scope string, bump bigint", "last long", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
@@ -210,15 +230,19 @@ def counters(events: DataFrame) -> DataFrame:
     return events.groupBy("owner", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
-def retry_state(failures: DataFrame, max_attempts: int = 3, max_transient: int = 12) -> DataFrame:
+def retry_state(failures: DataFrame, max_attempts: int = 3, max_transient: int = 12, life: int = 7 * 86400) -> DataFrame:
     """K8: attempts and wait of each item after every batch of results.
 
     ``failures`` is ``item_id, ts, seq, outcome`` with outcome ``done``,
     ``transient`` or ``other``.  A batch of the stream bounds what one item
-    can bring at once.
+    can bring at once.  The state of an item ends with ``done``, or ``life``
+    seconds after its last result.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         attempts, passing = state.get if state.exists else (0, 0)
         rows = pd.concat(list(batches)).sort_values(["at", "seq"])
         status, delay = "pending", None
@@ -232,15 +256,15 @@ def retry_state(failures: DataFrame, max_attempts: int = 3, max_transient: int =
                 attempts += 1
                 dead = attempts >= max_attempts
                 status, delay = ("failed", None) if dead else ("pending", float(60 * 2 ** (attempts - 1)))
-        state.update((int(attempts), int(passing)))
+        _keep(state, (int(attempts), int(passing)) if attempts or passing else None, int(rows["at"].max()) + life * 1_000_000)
         yield pd.DataFrame(
             {"item_id": [key[0]], "status": [status], "attempts": [attempts], "transient": [passing], "delay": pd.Series([delay], dtype="float64")}
         )
 
-    keyed = failures.select("item_id", F.unix_micros("ts").alias("at"), "seq", "outcome")
+    keyed = marked(failures).select("item_id", "ts", F.unix_micros("ts").alias("at"), "seq", "outcome")
     return keyed.groupBy("item_id").applyInPandasWithState(
         step, "item_id bigint, status string, attempts bigint, transient bigint, delay double", "attempts long, passing long",
-        "update", GroupStateTimeout.NoTimeout,
+        "update", GroupStateTimeout.EventTimeTimeout,
     )
 
 
@@ -273,6 +297,13 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(f"{_ddl(stream)}, batch int").parquet(out)
 
 
+def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of what ``run_available`` read back in update mode, the row of the newest batch of each key."""
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
+    return last.select(*keys, "last.*")
+
+
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 

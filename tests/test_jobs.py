@@ -137,6 +137,98 @@ def test_stream_equals_batch(spark, sf):
     same(jobs.run_available(jobs.counters(owned(stream)), "c", "update"), jobs.counters(owned(batch)), ["owner", "outcome", "n"])
 
 
+def sliced(spark, rows, schema, folder, batches):
+    """Rows as files of one batch each, in order of time."""
+    rows = sorted(rows, key=lambda r: r[1])
+    step = -(-len(rows) // batches)
+    for k in range(batches):
+        part = spark.createDataFrame(rows[k * step : (k + 1) * step], schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+        part.coalesce(1).write.parquet(f"{folder}/{k:03d}")
+    return spark.read.parquet(f"{folder}/*"), spark.read.parquet(f"{folder}/000").schema
+
+
+def run_twice(spark, folder, schema, job, tmp_path, mode):
+    """Six batches, the query ended and started again after the third; rows with their batch, and the last progress."""
+    out, offsets, rows, last = str(tmp_path / "out"), str(tmp_path / "offsets"), [], None
+    for files in (3, 6):
+        for k in range(files):
+            spark.read.parquet(f"{folder}/{k:03d}").write.mode("ignore").parquet(f"{tmp_path}/live/{k:03d}")
+        raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/live")
+        write = lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")
+        query = job(raw).writeStream.outputMode(mode).option("checkpointLocation", offsets).trigger(availableNow=True).foreachBatch(write).start()
+        query.awaitTermination()
+        last = query.recentProgress
+    return spark.read.parquet(out), last
+
+
+CALLS = [(k % 4, 1000 + 40 * k + (7 * k) % 30, k, (k * k) % 5 != 0) for k in range(600)]
+
+
+def test_windows_over_batches(spark, tmp_path):
+    """K1 and K3 in append mode over six batches with a restart: the rows of closed windows equal the batch form."""
+    folder = str(tmp_path / "in")
+    batch, schema = sliced(spark, CALLS, "caller long, s long, seq long, failed boolean", folder, 6)
+    for name, job, end in (("a", lambda d: jobs.rate_limit(d, limit=1), lambda r: r.minute), ("b", jobs.rate_10m, lambda r: r["at"])):
+        (tmp_path / name).mkdir()
+        got, _ = run_twice(spark, folder, schema, job, tmp_path / name, "append")
+        want = job(batch).collect()
+        rows = got.drop("batch").select(*job(batch).columns).collect()
+        closed = max(map(end, rows))
+        assert len(rows) > 100 and sorted(map(tuple, rows)) == sorted(tuple(r) for r in want if end(r) <= closed)
+
+
+def test_latest_state_over_batches(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    rows = [(k % 7, 60 * k, k, f"status{k % 5}") for k in range(120)]
+    batch, schema = sliced(spark, rows, "item_id long, s long, seq long, status string", folder, 6)
+    got, _ = run_twice(spark, folder, schema, jobs.latest_state, tmp_path, "update")
+    assert sorted(map(tuple, jobs.newest(got, ["item_id"]).collect())) == sorted(map(tuple, jobs.latest_state(batch).collect()))
+
+
+def fold_throttle(rows, limit, life):
+    held, out = {}, []
+    for caller, s, seq, failed in sorted(rows, key=lambda r: (r[1], r[2])):
+        count, until = held.get(caller, (0, 0))
+        if s >= until:
+            count = 0
+        out.append((caller, seq, count >= limit))
+        if count < limit:
+            held[caller] = (count + 1, s + life) if failed else (0, 0)
+    return sorted(out)
+
+
+def test_state_over_batches_ends(spark, tmp_path):
+    """K2, K4 and K8 over six batches with a restart equal a plain fold, and no state is left once the log is quiet."""
+    quiet = [(9, 10**6 + k, 10_000 + k, False) for k in range(100)]
+    folder = str(tmp_path / "in")
+    batch, schema = sliced(spark, CALLS[:500] + quiet, "caller long, s long, seq long, failed boolean", folder, 6)
+    (tmp_path / "k2").mkdir()
+    got, progress = run_twice(spark, folder, schema, lambda d: jobs.throttle_with_clear(d, limit=3, life_seconds=120), tmp_path / "k2", "append")
+    assert sorted((r.caller, r.seq, r.refused) for r in got.collect()) == fold_throttle(CALLS[:500] + quiet, 3, 120)
+    assert progress[-1].stateOperators[0].numRowsTotal == 0
+
+    (tmp_path / "k8").mkdir()
+    results = lambda d: d.select(F.col("caller").alias("item_id"), "ts", "seq", F.when(F.col("caller") == 9, "done").when(F.col("failed"), "transient").otherwise("other").alias("outcome"))
+    got, progress = run_twice(spark, folder, schema, lambda d: jobs.retry_state(results(d), life=3600), tmp_path / "k8", "update")
+    want = {}
+    for caller, _, _, failed in sorted(CALLS[:500], key=lambda r: (r[1], r[2])):
+        attempts, passing = want.get(caller, (0, 0))
+        want[caller] = (attempts, passing + 1) if failed and passing < 12 else (attempts + 1, passing)
+    last = {r.item_id: (r.attempts, r.transient) for r in jobs.newest(got, ["item_id"]).collect()}
+    assert last == want | {9: (0, 0)} and progress[-1].stateOperators[0].numRowsTotal == 0
+
+    (tmp_path / "k4").mkdir()
+    changes = lambda d: d.select(F.lit("v").alias("scope"), "ts")
+    got, progress = run_twice(spark, folder, schema, lambda d: jobs.debounce(changes(d), every=90), tmp_path / "k4", "append")
+    bumps = []
+    for s in sorted({r[1] for r in CALLS[:500] + quiet}):
+        if not bumps or s >= bumps[-1] + 90:
+            bumps.append(s)
+        elif s > bumps[-1]:
+            bumps.append(bumps[-1] + 90)
+    assert sorted(r.bump for r in got.collect()) == bumps
+
+
 def test_ingest_twice_adds_once(spark, sf):
     out = streams.stream_ingest(spark, sf)
     assert out.count() == out.select("sha256").distinct().count() == out.select("url").distinct().count() > 0
