@@ -254,6 +254,35 @@ def insert_candidate_near(spark, d):
     return files.insert_candidate_near(new, stored)
 
 
+@query(
+    "insert_in_order",
+    f"""WITH RECURSIVE {HI_SQL}, inb AS MATERIALIZED (SELECT i.id AS seq, i.sha256, h.video, h.x, h.bits FROM items i LEFT JOIN hi h ON h.id = i.id WHERE i.id % 4 <> 1),
+    uniq AS (SELECT sha256, min(id) AS id FROM items WHERE id % 4 = 1 GROUP BY 1),
+    incorp AS MATERIALIZED (SELECT u.id, h.video, h.x, h.bits FROM uniq u JOIN hi h ON h.id = u.id),
+    old AS MATERIALIZED (SELECT b.seq, min(struct_pack(d := bit_count(xor(b.x, c.x)), new := false, id := c.id)) AS best FROM inb b JOIN incorp c
+      ON b.video = c.video AND bit_count(xor(b.x, c.x)) <= 12 GROUP BY 1),
+    cand AS MATERIALIZED (SELECT b.seq, b.video, b.x, row_number() OVER (ORDER BY b.seq) AS k FROM inb b WHERE b.x IS NOT NULL AND b.seq NOT IN (SELECT seq FROM old) AND b.sha256 NOT IN (SELECT sha256 FROM uniq)),
+    edge AS MATERIALIZED (SELECT x.seq AS a, y.seq AS b, bit_count(xor(x.x, y.x)) AS d FROM cand x JOIN inb y ON x.video = y.video AND x.seq < y.seq AND bit_count(xor(x.x, y.x)) <= 12),
+    turn AS MATERIALIZED (SELECT c.k, c.seq, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS nb FROM cand c LEFT JOIN edge e ON e.b = c.seq GROUP BY ALL),
+    fold AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ins UNION ALL
+      SELECT t.k, CASE WHEN list_has_any(f.ins, t.nb) THEN f.ins ELSE list_append(f.ins, t.seq) END FROM fold f JOIN turn t ON t.k = f.k + 1),
+    ins AS MATERIALIZED (SELECT unnest(arg_max(ins, k)) AS seq FROM fold),
+    new AS (SELECT e.b AS seq, min(struct_pack(d := e.d, new := true, id := e.a)) AS best FROM edge e JOIN ins i ON i.seq = e.a GROUP BY 1),
+    j AS (SELECT b.seq, u.id AS stored, least(o.best, n.best) AS best, min(b.seq) OVER (PARTITION BY b.sha256) AS first, b.x IS NULL AS bare
+      FROM inb b LEFT JOIN uniq u ON u.sha256 = b.sha256 LEFT JOIN old o ON o.seq = b.seq LEFT JOIN new n ON n.seq = b.seq),
+    s AS (SELECT *, first < seq AND (bare OR coalesce(best.new AND best.id = first, false)) AS same FROM j)
+    SELECT seq, CASE WHEN stored IS NOT NULL OR same THEN 'duplicate' WHEN best IS NOT NULL THEN 'near' ELSE 'added' END AS outcome,
+      CASE WHEN stored IS NOT NULL THEN stored WHEN NOT best.new THEN best.id END AS item_id,
+      CASE WHEN stored IS NOT NULL THEN NULL WHEN same THEN first WHEN best.new THEN best.id END AS owner FROM s""",
+)
+def insert_in_order(spark, d):
+    rows = b.items_with_hashes(spark, d).select("id", "sha256", "kind", "phash")
+    new = rows.filter("id % 4 <> 1").withColumnRenamed("id", "seq")
+    have = rows.filter("id % 4 = 1")
+    first = have.groupBy("sha256").agg(F.min("id").alias("id"))
+    return files.insert_in_order(new, first.join(have.select("id", "kind", "phash"), "id"))
+
+
 @query(
     "transcript_from_segments",
     rf"""WITH s AS (SELECT conv_id AS item_id, turn, regexp_replace(text, '^{tx.WS}+|{tx.WS}+$', '', 'g') AS t, (turn * 37 + conv_id) % 10 < 7 AS heard FROM conversations),
