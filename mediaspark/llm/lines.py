@@ -36,6 +36,7 @@ DENSE = 4096
 LARGE = 48
 MOST = 2**18 - 1
 FILTER_BITS = 1 << 27
+LINES = 1 << 22
 
 
 def word_ranks(docs: DataFrame) -> np.ndarray:
@@ -68,10 +69,12 @@ class LineSets:
         breaks = np.flatnonzero(data == 10)
         line = words.doc + np.searchsorted(breaks, words.start)  # a new number for every line of every text
         head = np.arange(len(offsets) - 1) + np.searchsorted(breaks, offsets[:-1])
-        # one sort key: the line (under 2^22 in a block), the rank of the word's bucket, more bits of the word
+        # one sort key: the line (if under 2^22 in a block), the rank of the word's bucket, more bits of the word
         bucket = (words.hash >> U(46)).astype(np.int64)
         by = (rank if rank is not None else np.arange(BUCKETS, dtype=U))[bucket] if len(bucket) else bucket.astype(U)
-        order = np.argsort((line.astype(U) << U(42)) | (by << U(24)) | ((words.hash >> U(22)) & U(0xFFFFFF)))
+        inside = (by << U(24)) | ((words.hash >> U(22)) & U(0xFFFFFF))
+        many = len(line) and int(line[-1]) >= LINES
+        order = np.lexsort((inside, line)) if many else np.argsort((line.astype(U) << U(42)) | inside)
         word, line, doc = words.hash[order], line[order], words.doc[order]
         keep = np.ones(len(word), bool)
         keep[1:] = (word[1:] != word[:-1]) | (line[1:] != line[:-1])

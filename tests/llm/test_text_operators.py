@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -271,3 +272,23 @@ def test_crowds_of_near_copies_are_not_split(spark):
     leaves = jaccard._leaves(sampled)
     # a row for each start that a member shares, and no more by splitting
     assert leaves.count() <= 400 * jaccard.STARTS * 1.5
+
+
+def test_lines_of_very_long_texts(monkeypatch):
+    """More lines than the one sort key has room for: the sets are the same by two keys."""
+    text = "a b c\n" + "\n" * 40 + "d e f g\nb a c\n\nd e f g h"
+    data = np.frombuffer(text.encode(), np.uint8)
+    offsets = np.array([0, len(data)])
+    whole = lines.LineSets(data, offsets)
+    monkeypatch.setattr(lines, "LINES", 5)
+    again = lines.LineSets(data, offsets)
+    assert whole.line.tolist() == again.line.tolist() == [0, 41, 42, 44]
+    assert (whole.classes() == again.classes()).all() and (whole.word == again.word).all()
+
+
+def test_line_numbers_do_not_wrap():
+    blank = "\n" * (1 << 22)
+    data = np.frombuffer(("a b c d" + blank + "e f g h" + "\n" + "a b c d").encode(), np.uint8)
+    sets = lines.LineSets(data, np.array([0, len(data)]))
+    assert sets.line.tolist() == [0, 1 << 22, (1 << 22) + 1] and sets.size.tolist() == [4, 4, 4]
+    assert sets.classes()[0] == sets.classes()[2]
