@@ -73,20 +73,28 @@ def mean_embedding(frames: DataFrame) -> DataFrame:
     )
 
 
+KNOWN_WORDS = 200_000
+
+
 def hashing_encoder(dim: int) -> Callable[[list[list[str]]], np.ndarray]:
     """Default encoder: signed feature hashing of words, the same on every run."""
 
+    places: dict[str, tuple[int, float]] = {}
+
+    def place(word: str) -> tuple[int, float]:
+        if word not in places:
+            h = md5(word.encode()).hexdigest()
+            places[word] = int(h[:6], 16) % dim, 1.0 if int(h[6], 16) < 8 else -1.0
+        return places[word]
+
     def encode(texts: list[list[str]]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
-        places: dict[str, tuple[int, float]] = {}
-        for i, words in enumerate(texts):
-            for w in words:
-                if w not in places:
-                    h = md5(w.encode()).hexdigest()
-                    places[w] = int(h[:6], 16) % dim, 1.0 if int(h[6], 16) < 8 else -1.0
-                at, sign = places[w]
-                out[i, at] += sign
-        return out
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        codes, words = pd.factorize(np.array([w for words in texts for w in words], object))
+        if len(places) > KNOWN_WORDS:
+            places.clear()
+        at, sign = np.array([place(w) for w in words]).reshape(-1, 2).T
+        cell = np.repeat(np.arange(len(texts)), sizes) * dim + at.astype(np.int64)[codes]
+        return np.bincount(cell, sign[codes], len(texts) * dim).reshape(len(texts), dim)
 
     return encode
 
@@ -105,7 +113,7 @@ def embed_batch(
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode = make()
         for words in batches:
-            m = encode([list(w) for w in words])
+            m = encode(words.tolist())
             n = np.linalg.norm(m, axis=1, keepdims=True)
             n[n == 0] = 1
             yield pd.Series(list((m / n).astype(np.float32)))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import classify_error
@@ -150,9 +147,7 @@ def feeds_list(spark, d):
     SELECT scope, id, CASE WHEN status = 'done' THEN 'done' ELSE 'pending' END AS status FROM s""",
 )
 def select_scope(spark, d):
-    items = b.items(spark, d)
-    parts = [work.select_scope(items, s, b.as_of()).select(F.lit(s).alias("scope"), "id", "status") for s in work.SCOPES]
-    return reduce(DataFrame.unionByName, parts)
+    return work.select_scopes(b.items(spark, d), b.as_of()).select("scope", "id", "status")
 
 
 @query("scope_ids", f"WITH {b.ITEMS_SQL} SELECT id FROM items WHERE status IN ('done', 'failed')")

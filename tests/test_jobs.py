@@ -1,7 +1,9 @@
 """Pages, files, work tables, streams and the catalogue."""
 
+import hashlib
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +105,28 @@ def test_streaks_do_not_depend_on_buckets(spark, bucket):
     assert got == [1, 2, 0, 1, 2, 3, 4, 0, 0, 1]
 
 
+def test_scopes_in_one_pass(spark):
+    rows = [(1, "done", "", 2, "2024-01-01"), (2, "failed", "Connection reset by peer", 1, "2024-01-01"), (3, "failed", "decode failed", 1, "2024-01-01"), (4, "processing", "", 0, "2024-02-29"), (5, "pending", "", 0, "2024-03-01")]
+    df = spark.createDataFrame(rows, "id long, status string, error string, attempts int, at string").withColumn("updated_at", F.col("at").cast("timestamp"))
+    now = F.lit("2024-03-01").cast("timestamp")
+    got = work.select_scopes(df, now)
+    for scope in work.SCOPES:
+        one = work.select_scope(df, scope, now)
+        assert sorted(got.filter(F.col("scope") == scope).drop("scope").collect()) == sorted(one.collect())
+    assert got.count() == sum(work.select_scope(df, s, now).count() for s in work.SCOPES)
+
+
+def test_encoder_is_signed_hashing():
+    encode = labels.hashing_encoder(16)
+    texts = [["query", "cat", "cat"], [], ["dog"]]
+    want = np.zeros((3, 16))
+    for i, words in enumerate(texts):
+        for w in words:
+            h = hashlib.md5(w.encode()).hexdigest()
+            want[i, int(h[:6], 16) % 16] += 1 if int(h[6], 16) < 8 else -1
+    assert (encode(texts) == want).all() and encode([[]]).tolist() == [[0.0] * 16]
+
+
 def test_sounds(spark):
     rows = [(1, 0, "Music", 0.6), (1, 1, "Music", 0.8), (1, 0, "Speech", 0.9), (1, 0, "Dog", 0.1), (1, 1, "Unknown thing", 0.2)]
     tags = labels.audio_tags(spark.createDataFrame(rows, "item_id bigint, window bigint, label string, score double"))
