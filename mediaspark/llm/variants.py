@@ -69,7 +69,8 @@ def _counts() -> Column:
 
 
 def _key(counts: Column) -> Column:
-    return F.array_join(counts.cast("array<string>"), ",")
+    """64 bits of a path; paths of different length are told apart as well."""
+    return F.xxhash64(counts)
 
 
 def _moves() -> Column:
@@ -93,7 +94,7 @@ def _hot(words: DataFrame, subtree: int) -> list[DataFrame]:
 
 def _homes(words: DataFrame, hot: list[DataFrame]) -> DataFrame:
     """``words`` with the path ``key`` of the subtree that holds each."""
-    out = words.withColumn("key", F.lit(None).cast("string"))
+    out = words.withColumn("key", F.lit(None).cast("bigint"))
     for d, deep in zip(DEPTHS, [*hot, None], strict=True):
         own = _key(F.slice("v", 1, d))
         if deep is None:
@@ -103,19 +104,19 @@ def _homes(words: DataFrame, hot: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _visits(words: DataFrame, hot: list[DataFrame]) -> DataFrame:
-    """``word, key`` of every subtree that a word can reach within the budget."""
-    out = words.selectExpr("word", "v", "1 AS plus", "1 AS minus", "cast(array() AS array<int>) AS path", "cast(null AS string) AS key")
+def _visits(words: DataFrame, hot: list[DataFrame], carried: str = "word") -> DataFrame:
+    """``carried, key`` of every subtree that a word can reach within the budget."""
+    out = words.selectExpr(carried, "v", "1 AS plus", "1 AS minus", "cast(array() AS array<int>) AS path", "cast(null AS bigint) AS key")
     stay = F.filter(_moves(), lambda m: (m["p"] + m["m"]) == 0)
     for k, deep in enumerate([*hot, None]):
-        moves = F.filter(_moves(), lambda m: (m["p"] <= F.col("plus")) & (m["m"] <= F.col("minus")))
-        out = out.withColumn("move", F.explode(F.when(F.col("key").isNull(), moves).otherwise(stay)))
+        moves = F.filter(_moves(), lambda m: (m["p"] <= F.col("plus")) & (m["m"] <= F.col("minus"))) if k else _moves()
+        out = out.withColumn("move", F.explode(F.when(F.col("key").isNull(), moves).otherwise(stay) if k else moves))
         step = F.zip_with(F.slice("v", k * STRIDE + 1, STRIDE), F.col("move")["d"], lambda a, b: a + b)
-        out = out.select("word", "v", (F.col("plus") - F.col("move")["p"]).alias("plus"), (F.col("minus") - F.col("move")["m"]).alias("minus"), F.when(F.col("key").isNull(), F.concat("path", step)).otherwise(F.col("path")).alias("path"), "key")
+        out = out.select(carried, "v", (F.col("plus") - F.col("move")["p"]).alias("plus"), (F.col("minus") - F.col("move")["m"]).alias("minus"), F.when(F.col("key").isNull(), F.concat("path", step)).otherwise(F.col("path")).alias("path"), "key")
         out = out.filter(F.array_min("path") >= 0)
         own = _key(F.col("path"))
         if deep is None:
-            return out.select("word", F.coalesce("key", own).alias("key"))
+            return out.select(carried, F.coalesce("key", own).alias("key"))
         out = out.withColumn("_k", F.when(F.col("key").isNull(), own)).join(deep, "_k", "left")
         out = out.withColumn("key", F.coalesce("key", F.when(F.col("_deep").isNull(), F.col("_k")))).drop("_k", "_deep")
     return out
@@ -290,7 +291,9 @@ def near_pairs(words: DataFrame, subtree: int = SUBTREE, visitors: int = VISITOR
     hot = _hot(own, subtree)
     homes, visits = _homes(own, hot).select("word", "n", "key"), _visits(own, hot)
     sizes = homes.groupBy("key").agg(F.count(F.lit(1)).alias("held"))
-    reach = visits.groupBy("key").agg(F.count(F.lit(1)).alias("seen"))
+    # words of one path reach the same subtrees
+    paths = own.groupBy("v").agg(F.count(F.lit(1)).alias("words"))
+    reach = _visits(paths, hot, "words").groupBy("key").agg(F.sum("words").alias("seen"))
     parts = sizes.join(reach, "key").select("key", F.ceil(F.col("held") / subtree).cast("int").alias("tiles"), F.ceil(F.col("seen") / visitors).cast("int").alias("parts"))
     parts = broadcast_if_small(cut_lineage(parts))
 
@@ -303,7 +306,7 @@ def near_pairs(words: DataFrame, subtree: int = SUBTREE, visitors: int = VISITOR
     inside = homes.join(parts, "key").withColumn("tile", own_part("tiles")).withColumn("part", fan("parts"))
     asked = visits.join(parts, "key").withColumn("part", own_part("parts")).withColumn("tile", fan("tiles")).withColumn("n", F.lit(None).cast("bigint"))
     rows = inside.select("key", "tile", "part", "n", "word").unionByName(asked.select("key", "tile", "part", "n", "word"))
-    rows = rows.select(F.concat_ws("/", "key", F.col("tile").cast("string"), F.col("part").cast("string")).alias("key"), F.col("n").cast("bigint").alias("n"), "word")
+    rows = rows.select(F.xxhash64("key", "tile", "part").alias("key"), F.col("n").cast("bigint").alias("n"), "word")
     dealt = rows.repartition("key").sortWithinPartitions("key", F.col("n").asc_nulls_last())
     return dealt.mapInArrow(_search, "word string, near string, near_n bigint")
 
