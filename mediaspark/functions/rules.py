@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import c, strip
+from .text import c, let, strip
 
 # Wording that alone marks an advertisement, first match wins.
 STRONG_AD = [
@@ -80,20 +80,45 @@ TRANSIENT_PATTERN = (
 
 FLAGS = "(?iuU)"
 
+# For each wording, in the order above, a text without which it cannot match.
+STRONG_NEEDS = [
+    "реклам", "реклама", "на правах", "erid", "инн", "промокод", "promo", "#", "#", "sponsored", "парт", "казино",
+    "букмекер", "casino",
+]
+WEAK_NEEDS = [
+    "розыгрыш", "giveaway", "скидк", "скидк", "курс", "вебинар", "заработ", "пассивн", "инвест", "крипт", "ставк",
+    "бесплатно", "жми", "переходи", "успей", "заказ", "куп", "buy now", "discount", "limited offer",
+]
+# Lower-case characters that match another one when case is ignored.
+ODD_CASE = "[ſıᲀ-ᲈ]"
+
+
+def _hit(low: Column, odd: Column, pattern: str, need: str) -> Column:
+    """``low`` matches ``pattern``; the pattern is only tried where the text it needs occurs."""
+    return (low.contains(need) | odd) & low.rlike(FLAGS + pattern)
+
 
 def strong_ad(text: str | Column, extra_words: list[str] | None = None) -> Column:
     """Reason with the words of the first strong pattern that matches, else ''."""
-    low = F.lower(c(text))
-    extra = [re.escape(w.strip().lower()) for w in extra_words or [] if w.strip()]
-    hits = [
-        F.when(low.rlike(FLAGS + p), F.concat(F.lit("advertisement: "), strip(F.regexp_extract(low, FLAGS + p, 0))))
-        for p in STRONG_AD + extra
-    ]
-    return F.coalesce(*hits, F.lit(""))
+    extra = [w.strip().lower() for w in extra_words or [] if w.strip()]
+    known = [*zip(STRONG_AD, STRONG_NEEDS, strict=True), *((re.escape(w), "") for w in extra)]
+
+    def first(low: Column) -> Column:
+        def found(odd: Column) -> Column:
+            hits = [
+                F.when(_hit(low, odd, p, need), F.concat(F.lit("advertisement: "), strip(F.regexp_extract(low, FLAGS + p, 0))))
+                for p, need in known
+            ]
+            return F.coalesce(*hits, F.lit(""))
+
+        return let(low.rlike(ODD_CASE), found)
+
+    return let(F.lower(c(text)), first)
 
 
 def all_links(text: str | Column, links: str | Column) -> Column:
-    found = F.regexp_extract_all(c(text), F.lit(FLAGS + f"({URL})"), F.lit(1))
+    none = F.array().cast("array<string>")
+    found = F.when(~c(text).contains("/"), none).otherwise(F.regexp_extract_all(c(text), F.lit(FLAGS + f"({URL})"), F.lit(1)))
     return F.array_distinct(
         F.transform(F.concat(c(links), found), lambda u: F.lower(F.rtrim(u, F.lit("/.,)"))))
     )
@@ -101,27 +126,29 @@ def all_links(text: str | Column, links: str | Column) -> Column:
 
 def promo_score(text: str | Column, links: str | Column, buttons: str | Column, feed: str | Column) -> Column:
     """Points for promo wording, invites, foreign feeds, buttons and many links."""
-    low = F.lower(c(text))
-    urls = all_links(text, links)
-    linked = F.transform(urls, lambda u: F.lower(F.regexp_extract(u, FLAGS + FEED_LINK, 1)))
-    mentioned = F.transform(F.regexp_extract_all(c(text), F.lit("(?U)" + MENTION), F.lit(1)), F.lower)
-    foreign = F.array_except(F.array_union(linked, mentioned), F.array(F.lit(""), F.lower(c(feed))))
-    words = sum((low.rlike(FLAGS + p).cast("int") for p in WEAK_AD), F.lit(0))
-    invites = F.size(F.filter(urls, lambda u: u.rlike(FLAGS + INVITE) | u.rlike(FLAGS + BOT_START)))
-    return (
-        words
-        + 2 * invites
-        + F.size(foreign)
-        + (c(buttons) > 0).cast("int")
-        + (F.size(urls) >= 3).cast("int")
-    )
+    none = F.array().cast("array<string>")
+    at = F.when(~c(text).contains("@"), none).otherwise(F.regexp_extract_all(c(text), F.lit("(?U)" + MENTION), F.lit(1)))
+    mentioned = F.transform(at, F.lower)
+
+    def of_links(urls: Column) -> Column:
+        linked = F.transform(urls, lambda u: F.lower(F.regexp_extract(u, FLAGS + FEED_LINK, 1)))
+        foreign = F.array_except(F.array_union(linked, mentioned), F.array(F.lit(""), F.lower(c(feed))))
+        invites = F.size(F.filter(urls, lambda u: u.rlike(FLAGS + INVITE) | u.rlike(FLAGS + BOT_START)))
+        return 2 * invites + F.size(foreign) + (F.size(urls) >= 3).cast("int")
+
+    def wording(low: Column) -> Column:
+        weak = [*zip(WEAK_AD, WEAK_NEEDS, strict=True)]
+        return let(low.rlike(ODD_CASE), lambda odd: sum((_hit(low, odd, p, need).cast("int") for p, need in weak), F.lit(0)))
+
+    return let(F.lower(c(text)), wording) + let(all_links(text, links), of_links) + (c(buttons) > 0).cast("int")
 
 
 def long_text(text: str | Column, max_chars: int = 700) -> Column:
     """True when the text without links is longer than the limit (0 = off)."""
     if not max_chars:
         return F.lit(False)
-    return F.char_length(strip(F.regexp_replace(c(text), FLAGS + URL, ""))) > max_chars
+    bare = F.when(~c(text).contains("/"), c(text)).otherwise(F.regexp_replace(c(text), FLAGS + URL, ""))
+    return F.char_length(strip(bare)) > max_chars
 
 
 def post_verdict(
