@@ -22,11 +22,11 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that was learned; ``lang`` becomes the predicted one.
 
     Rejected: texts that are null or have no letter, and texts less likely, letter by letter, than
-    the learned documents of their best language can be.  A null id is kept; repeated rows are judged each.
+    the learned documents of their best language can be; model and floors come from all of them.  A null id is kept; repeated rows are judged each.
     """
     learned = docs.filter(~language.held_out())
-    model = language.fit(learned, PIECES)
-    found = language.known_language(docs, model, language.floors(learned, model))
+    model = language.fit(learned, PIECES, per_lang=None)
+    found = language.known_language(docs, model, language.floors(learned, model, per_lang=None))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 

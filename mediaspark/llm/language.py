@@ -152,17 +152,19 @@ def normalised(counts: np.ndarray, smooth: float = 0.1) -> np.ndarray:
     return np.vstack([p, np.full((1, p.shape[1]), UNKNOWN), np.zeros((1, p.shape[1]))])
 
 
-def _sample(labelled: DataFrame, per_lang: int) -> tuple[list[str], DataFrame]:
-    """Languages in order, and about ``per_lang`` rows ``doc_id, text, lang`` of each."""
+def _sample(labelled: DataFrame, per_lang: int | None) -> tuple[list[str], DataFrame]:
+    """Languages in order, and about ``per_lang`` rows ``doc_id, text, lang`` of each (None: all)."""
     rows = labelled.dropna(subset=["doc_id", "text", "lang"]).select("doc_id", "text", "lang")
     sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
+    if per_lang is None:
+        return langs, rows
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, per_lang / sizes[k]))])
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_003)) / 1_000_003
     return langs, rows.filter(draw < share[F.col("lang")]) if langs else rows
 
 
-def fit(labelled: DataFrame, model_path: str, per_lang: int = PER_LANG, rounds: int = ROUNDS) -> Model:
+def fit(labelled: DataFrame, model_path: str, per_lang: int | None = PER_LANG, rounds: int = ROUNDS) -> Model:
     """Piece probabilities from ``doc_id, text, lang`` rows (rows with a null are left out)."""
     langs, sample = _sample(labelled, per_lang)
     pieces = piece_list(model_path)
@@ -272,8 +274,8 @@ def predict(docs: DataFrame, model: Model, block: int = 256, per_letter: bool =
     return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *made])).toDF(*kept, *(f.name for f in made))
 
 
-def floors(labelled: DataFrame, model: Model, per_lang: int = PER_LANG) -> dict[str, float]:
-    """The least likelihood per letter of each language, from about ``per_lang`` of its labelled documents.
+def floors(labelled: DataFrame, model: Model, per_lang: int | None = PER_LANG) -> dict[str, float]:
+    """The least likelihood per letter of each language, from about ``per_lang`` of its labelled documents (None: all).
 
     It lies as far under the lowest thousandth of them as that lies under their middle.
     """

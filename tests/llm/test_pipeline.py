@@ -79,3 +79,20 @@ def test_empty_documents(spark, nothing, sf):
     docs = nothing.select(*pipeline.COLUMNS)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_language_stage_learns_from_every_document(spark, monkeypatch):
+    """Model and floors come from all labelled documents, however many a language has."""
+    from mediaspark.llm import language
+
+    seen, whole = [], language._sample
+
+    def watched(labelled, per_lang):
+        langs, rows = whole(labelled, per_lang)
+        seen.append((labelled.count(), rows.count()))
+        return langs, rows
+
+    monkeypatch.setattr(language, "_sample", watched)
+    docs = spark.range(2600).selectExpr("id as doc_id", "concat('harbour lights number ', id % 7) as text", "'en' as lang", "'a' as source", "20L as n_chars")
+    assert pipeline.language_id(spark, docs, "").count() == 2600
+    assert len(seen) == 2 and all(all_ == used > 1500 for all_, used in seen)
