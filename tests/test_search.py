@@ -195,6 +195,23 @@ def test_template_people_is_brute_force(spark, hot):
     assert got == sorted(want)
 
 
+def test_template_people_without_pairs_of_popular_people(spark):
+    """People with over ``2 * k`` holders are never joined with each other, however few holders count as popular otherwise."""
+    df = frame(spark, [item(i, people=["star", f"p{i % 3}"], template="") for i in range(60)])
+    found = similar.sim_template_people(df, k=7)
+    assert "Join Inner, (person" not in found._jdf.queryExecution().optimizedPlan().toString()
+    best = {r.other for r in found.collect() if r.id == 0}
+    assert best == set(range(39, 60, 3))
+
+
+def test_template_people_of_repeated_rows(spark):
+    """A partner in two rows counts twice, each row with its own template, and an item is never its own partner."""
+    rows = [item(1, people=["a"], template="x"), item(1, people=["a"], template="x"), item(2, people=["a"], template="x"), item(2, people=["a"], template="y"), item(3, people=["a"], template="z")]
+    for hot in (5000, 0):
+        got = [(r.other, r.s) for r in similar.sim_template_people(frame(spark, rows), k=3, hot_rows=hot).orderBy("id", "r").collect() if r.id == 3]
+        assert got == [(2, 1), (2, 1), (1, 1)]
+
+
 def test_tag_stats_count_repeats(spark):
     df = frame(spark, [item(1, tags=["a", "a", "b"]), item(2, tags=["a"], hidden=True)])
     assert {r.tag: r.n for r in similar.tag_stats(df).collect()} == {"a": 2, "b": 1}
