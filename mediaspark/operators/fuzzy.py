@@ -25,6 +25,8 @@ QUERY_BLOCK = 256
 BLOCKS_KEPT = 16
 WORDS = 30_000  # of texts scored at once
 CELLS = 4_000_000  # masks of words x searches at once
+KNOWN = 100_000  # words whose trigrams a block remembers
+SEEDED = 0.1  # share of words that may start a search's runs before all runs are scored
 
 
 def fuzzy_queries(queries: DataFrame) -> DataFrame:
@@ -55,32 +57,90 @@ class _Block:
         grams = [sorted(set().union(*map(trigrams, words))) for _, words in rows]
         self.sizes = np.array(list(map(len, grams)))
         self.row = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
-        self.bits = np.zeros((len(self.row), len(rows)), np.uint64)
-        for j, own in enumerate(grams):
-            self.bits[[self.row[g] for g in own], j] = np.uint64(1) << np.arange(len(own), dtype=np.uint64)
-
-    def masks(self, grams: list[set[str]]) -> np.ndarray:
+        # searches and bits of each trigram, trigram by trigram
+        held = sorted((self.row[g], j, i) for j, own in enumerate(grams) for i, g in enumerate(own))
+        rows, self.cols, place = np.array(held, np.int64).reshape(-1, 3).T
+        self.bits = np.uint64(1) << place.astype(np.uint64)
+        self.count = np.bincount(rows, minlength=len(self.row))
+        self.start = np.cumsum(self.count) - self.count
+        self.known: dict[str, list[int]] = {}
+
+    def rows_of(self, word: str) -> list[int]:
+        """Rows of the trigrams of a word that some search has."""
+        if word not in self.known:
+            if len(self.known) == KNOWN:
+                self.known.clear()
+            row = self.row
+            self.known[word] = [row[g] for g in trigrams(word) if g in row]
+        return self.known[word]
+
+    def masks(self, words: list[str]) -> np.ndarray:
         """Trigrams of each search that each word has: one row per word."""
-        row = self.row
-        at = [[row[g] for g in own if g in row] for own in grams]
+        at = list(map(self.rows_of, words))
         size = np.fromiter(map(len, at), np.int64, len(at))
-        some = np.flatnonzero(size)
-        out = np.zeros((len(grams), len(self.ids)), np.uint64)
-        for k in range(0, len(some), 4096):
-            part = some[k : k + 4096]
-            flat = np.fromiter((i for w in part for i in at[w]), np.int64, int(size[part].sum()))
-            out[part] = np.bitwise_or.reduceat(self.bits[flat], np.cumsum(size[part]) - size[part], axis=0)
+        flat = np.fromiter((i for rows in at for i in rows), np.int64, int(size.sum()))
+        reps = self.count[flat]
+        place = np.arange(int(reps.sum())) + np.repeat(self.start[flat] - (np.cumsum(reps) - reps), reps)
+        out = np.zeros((len(words), len(self.ids)), np.uint64)
+        # the bits of a word's trigrams differ, so their sum is their union
+        np.add.at(out.reshape(-1), np.repeat(np.repeat(np.arange(len(words)), size), reps) * len(self.ids) + self.cols[place], self.bits[place])
         return out
 
-    def scores(self, masks: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Best share of each search in a run of neighbouring words: one row per item.
+    def found(self, masks: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, searches and best shares of all pairs that reach the search's ``least`` share.
 
         ``words`` are rows of ``masks``, ``item`` the item of each word, ``first`` where items begin (none is empty).
+        A run that holds ``need`` trigrams has a word with its part of them: only runs around such words are
+        scored, or all runs for searches with many such words.
         """
+        need = np.maximum(1, np.ceil(least * self.sizes - 1e-6).astype(np.int64))
+        seed = np.bitwise_count(masks) >= -(-need // self.runs)
+        often = np.bincount(words, minlength=len(masks)).astype(np.float32) @ seed.astype(np.float32)
+        many = often > SEEDED * len(words)
+        share = self.scores(masks, words, item, first, np.flatnonzero(many))
+        i, j = np.nonzero(share >= np.where(many, least, 2.0))
+        out = [(i, j, share[i, j])]
+        for run in np.unique(self.runs[~many]):
+            of_run = np.flatnonzero((self.runs == run) & ~many)
+            step = max(1, CELLS // max(1, int(often[of_run].max())))
+            for k in range(0, len(of_run), step):
+                i, j, hit = self._around(masks, words, item, seed, need, int(run), of_run[k : k + step])
+                at = np.round(hit / self.sizes[j], 9)
+                good = at >= least[j]
+                out.append((i[good], j[good], at[good]))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _around(self, masks, words, item, seed, need, run: int, cols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Items, searches and most trigrams in a run around a seed, where they are as many as needed."""
+        word, col = np.nonzero(seed[:, cols])
+        count = np.bincount(word, minlength=len(masks))
+        reps = count[words]
+        at = np.repeat(np.arange(len(words)), reps)
+        j = cols[col[np.arange(len(at)) + np.repeat((np.cumsum(count) - count)[words] - (np.cumsum(reps) - reps), reps)]]
+
+        def mask(shift: int) -> np.ndarray:
+            place = at + shift
+            inside = (place >= 0) & (place < len(words))
+            place[~inside] = 0
+            return np.where(inside & (item[place] == item[at]), masks[words[place], j], np.uint64(0))
+
+        own = [mask(shift) for shift in range(1 - run, run)]
+        most = np.zeros(len(at), np.int64)
+        for k in range(run):
+            most = np.maximum(most, np.bitwise_count(reduce(np.bitwise_or, own[k : k + run])))
+        good = most >= need[j]
+        pair, most = item[at[good]] * len(self.ids) + j[good], most[good]
+        order = np.lexsort((most, pair))
+        last = np.flatnonzero(np.diff(pair[order], append=-1))
+        pair, most = pair[order][last], most[order][last]
+        return pair // len(self.ids), pair % len(self.ids), most
+
+    def scores(self, masks: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Best share of each of ``some`` searches in a run of neighbouring words: one row per item."""
         out = np.zeros((len(first), len(self.ids)))
         step = max(1, CELLS // len(words))
-        for run in np.unique(self.runs):
-            of_run = np.flatnonzero(self.runs == run)
+        for run in np.unique(self.runs[some]):
+            of_run = some[self.runs[some] == run]
             for k in range(0, len(of_run), step):
                 cols = of_run[k : k + step]
                 own = masks[:, cols]
@@ -92,14 +152,36 @@ class _Block:
         return np.round(out, 9)
 
 
-def fuzzy_scores(items: DataFrame, queries: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``q, id, score`` of every pair at or above the threshold.
+class _Least:
+    """The share that an item must reach to be among the best of each search of a block, as far as a task has read."""
+
+    def __init__(self, searches: int, threshold: float, best: int | None) -> None:
+        self.share, self.best = np.full(searches, threshold), best
+        self.held: list[np.ndarray] = [np.zeros(0)] * searches
+
+    def add(self, j: np.ndarray, share: np.ndarray) -> None:
+        if self.best is None or not len(j):
+            return
+        order = np.argsort(j, kind="stable")
+        j, share = j[order], share[order]
+        first = np.flatnonzero(np.diff(j, prepend=-1))
+        for a, z in zip(first, [*first[1:], len(j)]):
+            held = np.concatenate([self.held[j[a]], share[a:z]])
+            if len(held) >= self.best:
+                held = np.partition(held, len(held) - self.best)[len(held) - self.best :]
+                self.share[j[a]] = held[0]
+            self.held[j[a]] = held
+
+
+def fuzzy_scores(items: DataFrame, queries: DataFrame, threshold: float = THRESHOLD, best: int | None = None) -> DataFrame:
+    """``q, id, score`` of every pair at or above the threshold, or at least of the ``best`` ones of each search.
 
     The stated searches (40 characters each at most) travel to the texts, up to
     ``SEARCHES`` of them in one pass; a task scores them in blocks.  A batch of
     texts is coded by its distinct words, a word's masks are made once for a
     block, and runs of words are joined and counted for all texts at once.
-    Texts are never shuffled.
+    Where only the ``best`` items count, a task leaves out items below as many
+    that it has read.  Texts are never shuffled.
     """
     texts = items.select("id", tokens(search_text()).alias("words")).filter("size(words) > 0")
     asked: list[tuple[int, list[str]]] = []
@@ -112,15 +194,15 @@ def fuzzy_scores(items: DataFrame, queries: DataFrame, threshold: float = THRESH
             every = stated.value
             parts = [every[k : k + QUERY_BLOCK] for k in range(0, len(every), QUERY_BLOCK)]
             kept = [_Block(p) for p in parts[:BLOCKS_KEPT]]
+            least = [_Least(len(p), threshold, best) for p in parts]
             for ids, words, vocabulary, first in _pieces(batches):
-                grams = list(map(trigrams, vocabulary))
                 item = np.repeat(np.arange(len(first)), np.diff(first, append=len(words)))
                 for k, part in enumerate(parts):
                     block = kept[k] if k < len(kept) else _Block(part)
-                    share = block.scores(block.masks(grams), words, item, first)
-                    i, j = np.nonzero(share >= threshold)
+                    i, j, share = block.found(block.masks(vocabulary), words, item, first, least[k].share)
+                    least[k].add(j, share)
                     if len(i):
-                        yield pa.RecordBatch.from_arrays([pa.array(block.ids[j]), ids.take(pa.array(i)), pa.array(share[i, j])], ["q", "id", "score"])
+                        yield pa.RecordBatch.from_arrays([pa.array(block.ids[j]), ids.take(pa.array(i)), pa.array(share)], ["q", "id", "score"])
 
         return texts.mapInArrow(run, "q bigint, id bigint, score double")
 
@@ -149,7 +231,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.nd
 
 def fuzzy_match(items: DataFrame, queries: DataFrame, limit: int = CANDIDATES, threshold: float = THRESHOLD) -> DataFrame:
     """``q, id, score, r``: best ``limit`` items per search, ties by id descending."""
-    return top_k(fuzzy_scores(items, queries, threshold), ["q"], [F.desc("score"), F.desc("id")], limit, "r")
+    return top_k(fuzzy_scores(items, queries, threshold, limit), ["q"], [F.desc("score"), F.desc("id")], limit, "r")
 
 
 def fuzzy_gate(fuzzy: DataFrame, exact: DataFrame, minimum: int = 20) -> DataFrame:
