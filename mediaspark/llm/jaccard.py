@@ -48,27 +48,35 @@ DEPTH = 3
 ENOUGH = 16
 ALIKE = 0.5
 DENSE = 4096
+FILTER_BITS = 1 << 27
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
 
 
+def _tokens(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle tokens of a block of texts, ascending in a text, the places where texts begin, and the class of each text."""
+    value, doc, _ = windows(Words(data, offsets), shingle, short=True)
+    token, first = sets(salted(value, 21), doc, len(ids))
+    size = np.diff(first)
+    total = np.zeros(len(ids), U)
+    np.add.at(total, np.repeat(np.arange(len(ids)), size), salted(token, 22))
+    own = mix(total ^ salted(size.astype(U), 23))
+    own[size == 0] = salted(ids[size == 0].astype(U), 24)  # rows without words are alone
+    return token, first, own
+
+
 def _sampled(rows: DataFrame, shingle: int) -> DataFrame:
     """``_row, _doc, _class, _n, _sample, _map0, _map1``; samples ascend by their sampling hash."""
     schema = "_row bigint, _doc bigint, _class bigint, _n int, _sample array<bigint>, _map0 bigint, _map1 bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches, 1):
-            value, doc, _ = windows(Words(data, offsets), shingle, short=True)
-            token, first = sets(salted(value, 21), doc, part.num_rows)
+            ids = part.column(0).to_numpy()
+            token, first, own = _tokens(ids, data, offsets, shingle)
             size = np.diff(first)
             row = np.repeat(np.arange(part.num_rows), size)
-            total = np.zeros(part.num_rows, U)
-            np.add.at(total, row, salted(token, 22))
-            own = mix(total ^ salted(size.astype(U), 23))
-            ids = part.column(0).to_numpy()
-            own[size == 0] = salted(ids[size == 0].astype(U), 24)  # rows without words are alone
             # tokens ascend in a row, so a sample is a head of the row
             keep = token < np.array([2**64 - 1 if n <= SAMPLE else 2**64 // int(n) * SAMPLE for n in size.tolist()], U)[row] if len(token) else np.zeros(0, bool)
             chosen, at = token[keep], row[keep]
@@ -182,17 +190,36 @@ def _groups(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     return outermost(cut_lineage(found))
 
 
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """A hashed bit set of the wanted rows: at most 16 MB, whatever their number.
+
+    It only spares the shuffle of sets that are not wanted; a join follows.
+    """
+    place = F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS)).alias("place")
+    at, bit = F.shiftright("place", 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit")
+    found = wanted.select(place).select(at, bit).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[found.column("at").to_numpy()] = found.column("bits").to_numpy()
+    return out
+
+
 def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """``_class, _tokens`` of the wanted rows."""
+    """``_class, _row, _tokens`` of the rows that may be wanted: they are left out where the texts are read, so no text is shuffled."""
+    known = rows.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in blocks(batches, 1):
-            value, doc, _ = windows(Words(data, offsets), shingle, short=True)
-            token, first = sets(salted(value, 21), doc, part.num_rows)
+        def asked() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                place = batch.column(2).to_numpy()
+                yield batch.filter(pa.array(((known.value[place >> 6] >> (place & 63)) & 1).astype(bool)))
+
+        for part, data, offsets in blocks(asked(), 1):
+            token, first, own = _tokens(part.column(0).to_numpy(), data, offsets, shingle)
             found = [token[first[i] : first[i + 1]].tobytes() for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(2), pa.array(found, pa.binary())], ["_class", "_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), part.column(0), pa.array(found, pa.binary())], ["_class", "_row", "_tokens"])
 
-    return rows.join(wanted, "_row").select("_row", "text", "_class").mapInArrow(run, "_class bigint, _tokens binary")
+    place = F.pmod(F.xxhash64("_row"), F.lit(FILTER_BITS)).alias("_place")
+    return rows.select("_row", "text", place).mapInArrow(run, "_class bigint, _row bigint, _tokens binary")
 
 
 def _links(groups: DataFrame, members: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -265,8 +292,7 @@ def similar_documents(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     groups = cut_lineage(_groups(_leaves(classes), classes))
     lists_ = groups.groupBy("_class").agg(F.sort_array(F.collect_list(F.struct(-F.col("_size"), F.col("_gid").alias("g")))).getField("g").alias("_gids"))
     wanted = lists_.join(classes.select("_class", F.col("_first._row").alias("_row"), "_copies"), "_class")
-    tokens = _sets(rows, wanted.select("_class", "_row"), shingle)
-    members = tokens.join(wanted.drop("_row"), "_class")
+    members = _sets(rows, wanted, shingle).join(wanted, ["_class", "_row"]).drop("_row")
     links = cut_lineage(_links(groups, members))
     counts = links.groupBy("_class").agg(F.sum("_links").alias("_links"))
     named = connected(links.filter("_class <> _root").select(F.col("_class").alias("a"), F.col("_root").alias("b")))

@@ -292,3 +292,16 @@ def test_line_numbers_do_not_wrap():
     sets = lines.LineSets(data, np.array([0, len(data)]))
     assert sets.line.tolist() == [0, 1 << 22, (1 << 22) + 1] and sets.size.tolist() == [4, 4, 4]
     assert sets.classes()[0] == sets.classes()[2]
+
+
+def test_wanted_shingle_sets_are_made_where_texts_are_read(spark):
+    texts = ["a b c d e f g", "h i j k l m", None, "a b c d e f g", "n o"]
+    rows = jaccard._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    classes = {r._row: r for r in jaccard._sampled(rows, 5).collect()}
+    wanted = rows.filter("doc_id in (1, 3)").select("_row")
+    found = jaccard._sets(rows, wanted, 5)
+    plan = found._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = {r._row: r for r in found.collect()}
+    assert set(got) == {r._row for r in wanted.collect()}
+    assert all(r._class == classes[row]._class and len(r._tokens) == 8 * classes[row]._n for row, r in got.items())
