@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mediaspark.operators import fulltext, fuzzy, knn, retrieval, similar
 from mediaspark.plans import bindings
@@ -267,3 +268,34 @@ def test_fuzzy_scores_only_runs_that_can_count(spark):
     every = sorted((-r.score, -r.id) for r in fuzzy.fuzzy_scores(docs, q).collect())
     got = [(-r.score, -r.id) for r in fuzzy.fuzzy_match(docs, q, limit=5).orderBy("r").collect()]
     assert got == every[:5] and len(every) == 70
+
+
+def test_posting_totals_count_without_a_shuffle_of_ids(spark):
+    texts = [(1, "Runs running RUNS, кота коту"), (2, None), (3, ""), (None, "run runs"), (None, "run runs"), (5, "ways of running 2 x")]
+
+    def check(rows):
+        fields = dict.fromkeys(("description", "song", "transcript", "template", "caption"), "")
+        df = spark.createDataFrame([(i, t, t and t[:4]) for i, t in rows], "id long, ocr_text string, title string")
+        df = df.select("*", *[F.lit(v).alias(k) for k, v in fields.items()])
+        df = df.select("*", *[F.split(F.coalesce("ocr_text", F.lit("")), " ").alias(c) for c in ("tags", "people")], *[F.array().cast("array<string>").alias(c) for c in ("sounds", "objects")])
+        want = fulltext._stemmed(fulltext.raw_postings(df))
+        assert sorted(map(str, fulltext.postings(df).collect())) == sorted(map(str, want.collect()))
+        want = want.groupBy("config", "class", "term").agg(
+            F.count_distinct("id").alias("docs"), F.count("*").alias("hits"), F.sum(F.col("pos").cast("bigint")).alias("pos_sum")
+        )
+        got = fulltext.posting_totals(df)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+        return got._jdf.queryExecution().executedPlan().toString()
+
+    assert "hashpartitioning(id" not in (plan := check(texts)) and "distinct" not in plan
+    check(texts + [(1, "runs kings"), (5, "running")])
+
+
+def test_sim_tags_of_asking_items(spark):
+    rng = np.random.default_rng(3)
+    data = [(i, [f"t{int(x)}" for x in rng.zipf(1.6, 9) % 40], "done", False) for i in range(120)]
+    df = spark.createDataFrame(data, "id bigint, tags array<string>, status string, hidden boolean")
+    stats, asking = similar.tag_stats(df), df.filter("id % 2 = 0").select("id")
+    want = similar.sim_tags(df, stats, max_share=0.5, k=7, hot_rows=20).filter("id % 2 = 0 and r <= 4").collect()
+    got = similar.sim_tags(df, stats, max_share=0.5, k=4, hot_rows=20, asking=asking).collect()
+    assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
