@@ -10,7 +10,8 @@ Lines with equal sets are one class, which is all that lines of fewer than
 the whole corpus in 2^18 hashed buckets: a fixed size, upper bounds of the
 counts).  Two similar sets share a word in their prefixes, the first
 n - ceil(4n/5) + 1 words, so classes meet by prefix word; the length filter,
-the positional filter and a 64-bit symbol map that bounds the overlap cut
+the positional filter and a 64-bit parity map (a word turns one bit, so equal
+words cancel and sets differ in no fewer words than their maps in bits) cut
 what cannot match, and connected remains become groups whose sets are
 compared in full.  Equal groups found under several words are compared once.
 """
@@ -33,7 +34,7 @@ MIN_WORDS = 1
 MIN_JOINED = 4  # smaller sets are only similar if they are equal; 4 words inside 5 are at 4/5
 BUCKETS = 1 << 18
 DENSE = 4096
-LARGE = 48
+LARGE = 96
 MOST = 2**18 - 1
 FILTER_BITS = 1 << 27
 LINES = 1 << 22
@@ -121,7 +122,7 @@ def _prefixes(rows: DataFrame, rank: np.ndarray) -> DataFrame:
 
     A key is 32 bits of the word, the size (18 bits) and the place (14 bits);
     what does not fit is set so that the filters let it pass.  The second half
-    of the symbol map is only used for larger sets.
+    of the parity map is only used for larger sets, else it is 0 and packs well.
     """
     schema = "_key bigint, _class bigint, _map0 bigint, _map1 bigint"
     known = rows.sparkSession.sparkContext.broadcast(rank)
@@ -134,7 +135,7 @@ def _prefixes(rows: DataFrame, rank: np.ndarray) -> DataFrame:
             bit = salted(sets.word, 6)
             upper = (bit & U(64) != 0) & (np.repeat(sets.size, sets.size) >= LARGE)
             bit = U(1) << (bit & U(63))
-            maps = [np.bitwise_or.reduceat(np.where(part, bit, U(0)), sets.first[:-1]) if len(own) else np.zeros(0, U) for part in (~upper, upper)]
+            maps = [np.bitwise_xor.reduceat(np.where(part, bit, U(0)), sets.first[:-1]) if len(own) else np.zeros(0, U) for part in (~upper, upper)]
             _, at = np.unique(own, return_index=True)
             at = at[~np.isin(own[at], seen)]
             seen = np.union1d(seen, own[at]) if len(seen) < 500_000 else np.sort(own[at])
@@ -169,7 +170,7 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
             key, own, low, high = key[keep], own[keep], low[keep].view(U), high[keep].view(U)
             word, n, place = key >> 32, (key >> 14) & MOST, key & (2**14 - 1)
             large = n >= LARGE
-            folded = low | high
+            folded = low ^ high
             if not len(word):
                 continue
             size = np.diff(np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word)))

@@ -305,3 +305,15 @@ def test_wanted_shingle_sets_are_made_where_texts_are_read(spark):
     got = {r._row: r for r in found.collect()}
     assert set(got) == {r._row for r in wanted.collect()}
     assert all(r._class == classes[row]._class and len(r._tokens) == 8 * classes[row]._n for row, r in got.items())
+
+
+def test_parity_maps_bound_the_difference_of_lines(spark):
+    base = [f"w{i}" for i in range(60)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(base[4:] + ["x", "y"])), (3, " ".join(f"v{i}" for i in range(120)))], "doc_id long, text string")
+    rows = lines._keyed(docs)
+    maps = {r._class: (r._map0 % 2**64, r._map1 % 2**64, (r._key >> 14) & lines.MOST) for r in lines._prefixes(rows, lines.word_ranks(rows)).collect()}
+    assert sorted(n for _, _, n in maps.values()) == [58, 60, 120]
+    assert all((high == 0) == (n < 96) for _, high, n in maps.values())  # the second half is for larger lines
+    (a, _, _), (b, _, _) = (m for m in maps.values() if m[2] < 96)
+    assert (a ^ b).bit_count() <= 6
+    assert all((low ^ high).bit_count() % 2 == n % 2 for low, high, n in maps.values())  # a word turns one bit
