@@ -222,6 +222,26 @@ def _sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.select("_row", "text", place).mapInArrow(run, "_class bigint, _row bigint, _tokens binary")
 
 
+def _edges(own: np.ndarray, label: np.ndarray, side: np.ndarray, total: np.ndarray) -> list[tuple[int, int, int]]:
+    """``_class, _root, _links`` of the members of a pair of tiles with a link.
+
+    The root is the smallest class of the same tile in the connected group, so a
+    member mostly keeps it whatever the other tile; one more edge joins the two
+    roots.  Edges to one root of both tiles would be as many as members times tiles.
+    """
+    size = np.bincount(label, minlength=len(label))
+    at = np.flatnonzero(size[label] > 1)
+    part = 2 * label[at] + side[at]
+    order = np.lexsort((own[at], part))
+    at, part = at[order], part[order]
+    new = np.append(True, part[1:] != part[:-1])[: len(at)]
+    head = own[at][np.flatnonzero(new)]
+    out = list(zip(own[at].tolist(), head[np.cumsum(new) - 1].tolist(), total[at].tolist(), strict=True))
+    of = part[new] >> 1
+    both = np.flatnonzero(of[1:] == of[:-1])
+    return out + [(a, b, 0) for a, b in zip(head[both + 1].tolist(), head[both].tolist(), strict=True)]
+
+
 def _links(groups: DataFrame, members: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """``_class, _root, _links``: documents linked to a class and an edge to the root of its similar members, per tile pair."""
     schema = "_class bigint, _root bigint, _links bigint"
@@ -267,7 +287,7 @@ def _links(groups: DataFrame, members: DataFrame, num: int = 4, den: int = 5) ->
                     total[i] += weight[found].sum()
                     total[found] += weight[i]
                 label = components(m, np.concatenate(one or [np.zeros(0, int)]), np.concatenate(two or [np.zeros(0, int)]))
-                out += [(int(own[at[i]]), int(own[at[label[i]]]), int(total[i])) for i in np.flatnonzero((total > 0) | (label != np.arange(m)))]
+                out += _edges(own[at], label, tile[at] == left[a], total)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else ([], [], []))], ["_class", "_root", "_links"])
 
     rows = tiled(groups, "_class").join(members, "_class").repartition("_gid", "_a", "_b").sortWithinPartitions("_gid", "_a", "_b")
