@@ -38,23 +38,25 @@ LARGE = 96
 MOST = 2**18 - 1
 FILTER_BITS = 1 << 27
 LINES = 1 << 22
+PARTS = 64  # rows that the word counts of a task are sent in
 
 
-def word_ranks(docs: DataFrame) -> np.ndarray:
-    """Ranks, rarest first, of the ``BUCKETS`` hashed buckets by occurrences over all texts (2 MB, whatever the corpus)."""
+def _ranks(counts: DataFrame) -> np.ndarray:
+    """Ranks, rarest first, of the ``BUCKETS`` hashed buckets by their counts, ``_part, _counts`` (2 MB, whatever the corpus)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
-        for _, data, offsets in blocks(batches, 0):
-            total += np.bincount((Words(data, offsets).hash >> U(46)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[part] = total.get(part, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([n.tobytes() for n in total.values()], pa.binary())], ["_part", "_counts"])
 
-    out = np.zeros(BUCKETS, np.int64)
-    counts = docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").cast("bigint").alias("n")).toArrow()
-    out[counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
+    out = np.zeros((PARTS, BUCKETS // PARTS), np.int64)
+    found = counts.repartition("_part").mapInArrow(summed, "_part int, _counts binary").toArrow()
+    for part, raw in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        out[part] = np.frombuffer(raw, np.int64)
     ranks = np.empty(BUCKETS, U)
-    ranks[np.argsort(out, kind="stable")] = np.arange(BUCKETS, dtype=U)
+    ranks[np.argsort(out.ravel(), kind="stable")] = np.arange(BUCKETS, dtype=U)
     return ranks
 
 
@@ -66,7 +68,7 @@ class LineSets:
     """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, rank: np.ndarray | None = None, least: int = MIN_WORDS):
-        words = Words(data, offsets)
+        words = self.words = Words(data, offsets)
         breaks = np.flatnonzero(data == 10)
         line = words.doc + np.searchsorted(breaks, words.start)  # a new number for every line of every text
         head = np.arange(len(offsets) - 1) + np.searchsorted(breaks, offsets[:-1])
@@ -103,16 +105,29 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("_row", F.monotonically_increasing_id())
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """``_class, _doc, _row, _line`` of every line that may be removed; ``_doc`` orders null ids last."""
-    schema = "_class bigint, _doc bigint, _row bigint, _line int"
+def _read(rows: DataFrame) -> DataFrame:
+    """``_class, _doc, _row, _line`` of every line that may be removed; ``_doc`` orders null ids last.
+
+    The texts are only split once for this, so a task's counts of the hashed
+    buckets of all words come along, in rows that have ``_part, _counts``.
+    """
+    schema = "_class bigint, _doc bigint, _row bigint, _line int, _part int, _counts binary"
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for part, data, offsets in blocks(batches, 1):
             sets = LineSets(data, offsets)
+            total += np.bincount((sets.words.hash >> U(46)).astype(np.int64), minlength=BUCKETS)
             doc = part.column(2).fill_null(2**63 - 1).to_numpy()
             row = part.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(sets.classes()), pa.array(doc[sets.row]), pa.array(row[sets.row]), pa.array(sets.line.astype(np.int32))], [c.split()[0] for c in schema.split(", ")])
+            own = [sets.classes(), doc[sets.row], row[sets.row], sets.line.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in own), *(pa.nulls(len(own[0]), k) for k in kinds[4:])], names)
+        parts = total.reshape(PARTS, -1)
+        at = np.flatnonzero(parts.any(axis=1))
+        sent = [pa.array(at, pa.int32()), pa.array([parts[p].tobytes() for p in at], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), k) for k in kinds[:4]), *sent], names)
 
     return rows.select("_row", "text", "doc_id").mapInArrow(run, schema)
 
@@ -165,6 +180,12 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, _ in runs(batches, 1, shift=32):
             key, own, low, high = (table.column(i).to_numpy() for i in range(4))
+            tied = np.flatnonzero(key[1:] == key[:-1])
+            if len(tied):  # rows of one key come in any order
+                tied = np.union1d(tied, tied + 1)
+                order = np.arange(len(key))
+                order[tied] = tied[np.lexsort((own[tied], key[tied]))]
+                own, low, high = own[order], low[order], high[order]
             keep = np.ones(len(key), bool)
             keep[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
             key, own, low, high = key[keep], own[keep], low[keep].view(U), high[keep].view(U)
@@ -200,7 +221,7 @@ def _candidates(prefixes: DataFrame) -> DataFrame:
             places, gid, count = group_ids(own, label)
             yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(count), pa.array(own[places])], ["_gid", "_size", "_class"])
 
-    shuffled = prefixes.repartition(F.shiftrightunsigned("_key", 32)).sortWithinPartitions("_key", "_class")
+    shuffled = prefixes.repartition(F.shiftrightunsigned("_key", 32)).sortWithinPartitions("_key")
     return shuffled.mapInArrow(run, schema).distinct()
 
 
@@ -277,9 +298,10 @@ def _late(groups: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _removed(rows: DataFrame) -> DataFrame:
     """``_row, _gone``: the numbers of the lines to remove, for rows that have any."""
-    prefixes = _prefixes(rows, word_ranks(rows))
+    read = cut_lineage(_read(rows))
+    lines = read.filter("_part is null").select("_class", "_doc", "_row", "_line")
+    prefixes = _prefixes(rows, _ranks(read.filter("_part is not null").select("_part", "_counts")))
     groups = cut_lineage(outermost(cut_lineage(_candidates(prefixes))))
-    lines = cut_lineage(_lines(rows))
     classes = cut_lineage(lines.groupBy("_class").agg(F.min(F.struct("_doc", "_row", "_line")).alias("_first"), F.count(F.lit(1)).alias("_n")))
     wanted = groups.select("_class").distinct()
     firsts = classes.join(wanted, "_class").select("_class", "_first.*")

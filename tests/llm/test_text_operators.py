@@ -1,6 +1,7 @@
 """Language ID, fingerprints, substring and line dedup, Jaccard join, counts: brute force on edge cases."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -8,7 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from mediaspark.llm import counting, jaccard, language, lines, sketch, substrings
+from mediaspark.llm import counting, jaccard, language, lines, sketch, substrings, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -317,3 +318,43 @@ def test_parity_maps_bound_the_difference_of_lines(spark):
     (a, _, _), (b, _, _) = (m for m in maps.values() if m[2] < 96)
     assert (a ^ b).bit_count() <= 6
     assert all((low ^ high).bit_count() % 2 == n % 2 for low, high, n in maps.values())  # a word turns one bit
+
+
+def test_words_are_counted_where_lines_are_read(spark):
+    texts = ["a b b\nc a", None, "", "d é a\n\nb"] * 3
+    read = lines._read(lines._keyed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)))
+    counted = read.filter("_part is not null").select("_part", "_counts")
+    assert read.filter("_part is null").count() == 12
+    assert counted.count() <= 2 * lines.PARTS  # rows a task sends, whatever the words
+    data = np.frombuffer("\n".join(t for t in texts if t).encode(), np.uint8)
+    n = np.bincount((words.Words(data, np.array([0, len(data)])).hash >> np.uint64(46)).astype(int), minlength=lines.BUCKETS)
+    assert (lines._ranks(counted)[np.argsort(n, kind="stable")] == np.arange(lines.BUCKETS)).all()
+    empty = lines._read(lines._keyed(spark.createDataFrame([], "doc_id bigint, text string")))
+    assert (lines._ranks(empty.filter("_part is not null").select("_part", "_counts")) == np.arange(lines.BUCKETS)).all()
+
+
+def test_candidates_come_from_rows_of_a_key_in_any_order(spark):
+    # classes 1 to 4 with the same word, size and place, each twice and apart; 5 differs in its map
+    rows = [((7 << 32) | (10 << 14), c, 1 if c < 5 else 1023, 0) for c in (3, 1, 5, 4, 2, 4, 1, 5, 2, 3)]
+    got = lines._candidates(spark.createDataFrame(rows, "_key bigint, _class bigint, _map0 bigint, _map1 bigint")).collect()
+    assert sorted(r._class for r in got) == [1, 2, 3, 4] and {r._size for r in got} == {4} and len({r._gid for r in got}) == 1
+
+
+def test_edges_of_a_crowded_group_grow_with_its_members():
+    rng = np.random.default_rng(3)
+    own = rng.permutation(10_000)[:600]
+    tile = rng.integers(0, 12, 600)
+    edges = set()
+    for a, b in itertools.combinations_with_replacement(range(12), 2):
+        at = rng.permutation(np.flatnonzero((tile == a) | (tile == b)))
+        alone = rng.integers(0, len(at))  # one member has no link in this pair of tiles
+        label = np.where(np.arange(len(at)) == alone, alone, (alone == 0) * 1)
+        found = jaccard._edges(own[at], label, tile[at] == a, np.where(np.arange(len(at)) == alone, 0, 5))
+        assert sum(n for _, _, n in found) == 5 * (len(at) - 1) and own[at[alone]] not in {c for c, _, n in found if n}
+        edges |= {(c, r) for c, r, _ in found if c != r}
+    assert len(edges) < 600 + 3 * 12 * 12  # with one root for both tiles they were about 600 x 12 / 2
+    root = {int(c): int(c) for c in own}
+    for _ in range(30):
+        for c, r in edges:
+            root[c] = root[r] = min(root[c], root[r])
+    assert set(root.values()) == {int(own.min())}
