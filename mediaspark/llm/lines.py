@@ -60,6 +60,12 @@ def _ranks(counts: DataFrame) -> np.ndarray:
     return ranks
 
 
+def word_ranks(rows: DataFrame, read: DataFrame | None = None) -> np.ndarray:
+    """Ranks of the hashed buckets over all texts of ``rows``, from ``read`` if they have been read."""
+    read = _read(rows) if read is None else read
+    return _ranks(read.filter("_part is not null").select("_part", "_counts"))
+
+
 class LineSets:
     """Distinct words of every line of a block of texts, lines of too few words left out.
 
@@ -300,7 +306,7 @@ def _removed(rows: DataFrame) -> DataFrame:
     """``_row, _gone``: the numbers of the lines to remove, for rows that have any."""
     read = cut_lineage(_read(rows))
     lines = read.filter("_part is null").select("_class", "_doc", "_row", "_line")
-    prefixes = _prefixes(rows, _ranks(read.filter("_part is not null").select("_part", "_counts")))
+    prefixes = _prefixes(rows, word_ranks(rows, read))
     groups = cut_lineage(outermost(cut_lineage(_candidates(prefixes))))
     classes = cut_lineage(lines.groupBy("_class").agg(F.min(F.struct("_doc", "_row", "_line")).alias("_first"), F.count(F.lit(1)).alias("_n")))
     wanted = groups.select("_class").distinct()
