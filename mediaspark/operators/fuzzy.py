@@ -23,9 +23,8 @@ CANDIDATES = 240
 SEARCHES = 200_000  # in one pass over the texts
 QUERY_BLOCK = 256
 BLOCKS_KEPT = 16
-WORDS = 30_000  # of texts scored at once
+WORDS = 60_000  # of texts scored at once
 CELLS = 4_000_000  # masks of words x searches at once
-KNOWN = 100_000  # words whose trigrams a block remembers
 SEEDED = 0.1  # share of words that may start a search's runs before all runs are scored
 
 
@@ -45,6 +44,16 @@ def trigrams(word: str) -> set[str]:
     return {padded[i : i + 3] for i in range(len(padded) - 2)}
 
 
+def _codes(words: list[str], pad: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The trigrams of all words as numbers, and the word of each; ``pad`` 0 takes the words as they are."""
+    padded = [f"  {w} " for w in words] if pad else words
+    size = np.fromiter(map(len, padded), np.int64, len(padded))
+    points = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(len(padded)), size - 2)
+    at = np.arange(len(word)) + 2 * word
+    return word, (points[at] << 42) | (points[at + 1] << 21) | points[at + 2]
+
+
 class _Block:
     """A block of searches as bit masks: bit i of search j is its i-th trigram.
 
@@ -56,34 +65,27 @@ class _Block:
         self.runs = np.array([len(w) for _, w in rows])
         grams = [sorted(set().union(*map(trigrams, words))) for _, words in rows]
         self.sizes = np.array(list(map(len, grams)))
-        self.row = {g: i for i, g in enumerate(sorted(set().union(*grams)))}
+        self.grams = np.unique(_codes([g for own in grams for g in own], 0)[1])
+        row = dict(zip(self.grams.tolist(), range(len(self.grams))))
         # searches and bits of each trigram, trigram by trigram
-        held = sorted((self.row[g], j, i) for j, own in enumerate(grams) for i, g in enumerate(own))
+        held = sorted((row[code], j, i) for j, own in enumerate(grams) for i, code in enumerate(_codes(own, 0)[1].tolist()))
         rows, self.cols, place = np.array(held, np.int64).reshape(-1, 3).T
         self.bits = np.uint64(1) << place.astype(np.uint64)
-        self.count = np.bincount(rows, minlength=len(self.row))
+        self.count = np.bincount(rows, minlength=len(self.grams))
         self.start = np.cumsum(self.count) - self.count
-        self.known: dict[str, list[int]] = {}
-
-    def rows_of(self, word: str) -> list[int]:
-        """Rows of the trigrams of a word that some search has."""
-        if word not in self.known:
-            if len(self.known) == KNOWN:
-                self.known.clear()
-            row = self.row
-            self.known[word] = [row[g] for g in trigrams(word) if g in row]
-        return self.known[word]
-
-    def masks(self, words: list[str]) -> np.ndarray:
-        """Trigrams of each search that each word has: one row per word."""
-        at = list(map(self.rows_of, words))
-        size = np.fromiter(map(len, at), np.int64, len(at))
-        flat = np.fromiter((i for rows in at for i in rows), np.int64, int(size.sum()))
+
+    def masks(self, words: list[str], coded: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Trigrams of each search that each word has: one row per word; ``coded`` are the words' ``_codes``."""
+        word, codes = coded or _codes(words)
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        some = self.grams[at] == codes
+        held = np.sort(word[some] * len(self.grams) + at[some])
+        word, flat = np.divmod(held[np.diff(held, prepend=-1) != 0], len(self.grams))
         reps = self.count[flat]
         place = np.arange(int(reps.sum())) + np.repeat(self.start[flat] - (np.cumsum(reps) - reps), reps)
         out = np.zeros((len(words), len(self.ids)), np.uint64)
         # the bits of a word's trigrams differ, so their sum is their union
-        np.add.at(out.reshape(-1), np.repeat(np.repeat(np.arange(len(words)), size), reps) * len(self.ids) + self.cols[place], self.bits[place])
+        np.add.at(out.reshape(-1), np.repeat(word, reps) * len(self.ids) + self.cols[place], self.bits[place])
         return out
 
     def found(self, masks: np.ndarray, words: np.ndarray, item: np.ndarray, first: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,11 +120,14 @@ class _Block:
         at = np.repeat(np.arange(len(words)), reps)
         j = cols[col[np.arange(len(at)) + np.repeat((np.cumsum(count) - count)[words] - (np.cumsum(reps) - reps), reps)]]
 
+        flat = np.append(masks, np.zeros(len(self.ids), np.uint64))
+
         def mask(shift: int) -> np.ndarray:
-            place = at + shift
-            inside = (place >= 0) & (place < len(words))
-            place[~inside] = 0
-            return np.where(inside & (item[place] == item[at]), masks[words[place], j], np.uint64(0))
+            # beyond its item a word's neighbour is the row of no trigrams
+            near = np.full(len(words), len(masks))
+            to, of = (slice(0, max(0, len(words) - shift)), slice(shift, None)) if shift >= 0 else (slice(-shift, None), slice(0, max(0, len(words) + shift)))
+            near[to] = np.where(item[to] == item[of], words[of], len(masks))
+            return flat[near[at] * len(self.ids) + j]
 
         own = [mask(shift) for shift in range(1 - run, run)]
         most = np.zeros(len(at), np.int64)
@@ -197,9 +202,10 @@ def fuzzy_scores(items: DataFrame, queries: DataFrame, threshold: float = THRESH
             least = [_Least(len(p), threshold, best) for p in parts]
             for ids, words, vocabulary, first in _pieces(batches):
                 item = np.repeat(np.arange(len(first)), np.diff(first, append=len(words)))
+                coded = _codes(vocabulary)
                 for k, part in enumerate(parts):
                     block = kept[k] if k < len(kept) else _Block(part)
-                    i, j, share = block.found(block.masks(vocabulary), words, item, first, least[k].share)
+                    i, j, share = block.found(block.masks(vocabulary, coded), words, item, first, least[k].share)
                     least[k].add(j, share)
                     if len(i):
                         yield pa.RecordBatch.from_arrays([pa.array(block.ids[j]), ids.take(pa.array(i)), pa.array(share)], ["q", "id", "score"])

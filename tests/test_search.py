@@ -299,3 +299,66 @@ def test_sim_tags_of_asking_items(spark):
     want = similar.sim_tags(df, stats, max_share=0.5, k=7, hot_rows=20).filter("id % 2 = 0 and r <= 4").collect()
     got = similar.sim_tags(df, stats, max_share=0.5, k=4, hot_rows=20, asking=asking).collect()
     assert want and sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_full_text_matches_where_words_are_made(spark, monkeypatch):
+    """Small blocks against a plain search of the postings; rows of one id are one item, no position is shuffled."""
+    for name, n in (("WORDS", 40), ("PAIRS", 6), ("PLACES", 9), ("SEARCHES", 7)):
+        monkeypatch.setattr(fulltext, name, n)
+    rng = np.random.default_rng(4)
+    vocabulary = np.array(["running", "runs", "salt", "salted", "wind", "cove", "кота", "коту", "of", "x"])
+    rows = [item(i, " ".join(rng.choice(vocabulary, rng.integers(0, 9)))) for i in range(40)]
+    docs = frame(spark, [*rows, item(None, "salt wind")])
+    asked = ['"salt wind" cove', "runs wind -cove", '"of salt of" x', "salt salt", 'кота -"of salt"', "running or cove x", '-salt -"wind wind"', "x of salt wind runs", "-", "nowhere"]
+    q = spark.createDataFrame([*enumerate(asked), (3, "salt salt")], "q bigint, text string")
+
+    def plain(df):
+        places, terms = {}, {}
+        for p in fulltext._stemmed(fulltext.raw_postings(df)).filter("id is not null").collect():
+            places.setdefault((p.id, p.config), {}).setdefault(p.term, set()).add(p.pos)
+        for t in fulltext.query_terms(q).collect():
+            terms.setdefault((t.q, t.config, t.alt), []).append(t)
+        out = {}
+        for (search, config, _), words in terms.items():
+            units = {}
+            for t in words:
+                units.setdefault((t.neg, t.unit), []).append(t)
+            for (i, kind), held in places.items():
+                if kind != config or all(t.neg for t in words):
+                    continue
+
+                def begins(own):
+                    own = [t for t in own if not t.neg or t.term in held]
+                    starts = [{p - t.j for p in held.get(t.term, ())} for t in own]
+                    return set.intersection(*starts) if own and len(own) == own[0].len else set()
+
+                wanted = [begins(own) for (neg, _), own in sorted(units.items()) if not neg]
+                if not all(wanted) or any(begins(own) for (neg, _), own in units.items() if neg):
+                    continue
+                last, low, s = [-1] * len(wanted), -1, 0.0
+                for start, u in sorted((p, u) for u, own in enumerate(wanted) for p in own):
+                    last[u] = start
+                    if min(last) > low:
+                        low = min(last)
+                        s += 1 / (1 + max(start - low - len(wanted) + 1, 0))
+                weight = fulltext.CLASS_WEIGHTS[fulltext.CONFIGS[config]]
+                out[search, i] = out.get((search, i), 0.0) + weight * s
+        return out
+
+    for df in (docs, docs.unionByName(frame(spark, [item(i, "wind cove x") for i in range(0, 40, 3) for _ in range(2)]))):
+        want = plain(df)
+        ranked = fulltext.fts_rank(df, q)
+        got = {(r.q, r.id): r.score for r in ranked.collect() if r.q != 6}
+        assert len(want) > 40 and set(got) == set(want)
+        assert all(got[k] == pytest.approx(s / (s + 1), abs=2e-9) for k, s in want.items())
+        assert {(r.q, r.id) for r in fulltext.fts_match(df, q).filter("q <> 6").collect()} == set(want)
+        plan = fulltext._matches(df, fulltext.query_terms(q))._jdf.queryExecution().optimizedPlan().toString()
+        assert "posexplode" not in plan and "collect_list" not in plan and ("RepartitionByExpression" in plan) == (df is not docs)
+
+
+def test_trigrams_are_numbers():
+    """All trigrams of a batch of words come from one array instead of one set per word."""
+    words = ["cat", "ça", "x", "haha"]
+    word, codes = fuzzy._codes(words)
+    named = {sum(ord(c) << 21 * (2 - i) for i, c in enumerate(g)): g for w in words for g in fuzzy.trigrams(w)}
+    assert [{named[c] for c in codes[word == i]} for i in range(4)] == [fuzzy.trigrams(w) for w in words]
