@@ -362,3 +362,27 @@ def test_trigrams_are_numbers():
     word, codes = fuzzy._codes(words)
     named = {sum(ord(c) << 21 * (2 - i) for i, c in enumerate(g)): g for w in words for g in fuzzy.trigrams(w)}
     assert [{named[c] for c in codes[word == i]} for i in range(4)] == [fuzzy.trigrams(w) for w in words]
+
+
+def test_knn_without_structure_reads_items_once(spark, monkeypatch):
+    """Vectors that no bound can tell apart: few pairs are scored in full, only the best of a block leave it."""
+    rng = np.random.default_rng(2)
+    x = [(i, rng.normal(size=24).tolist()) for i in range(900)]
+    x[5], x[7] = (5, x[6][1]), (7, None)
+    rows = spark.createDataFrame(x, "id bigint, vec array<float>").repartition(4)
+    scored = spark.sparkContext.accumulator(0)
+    got = knn.knn(rows.selectExpr("id AS q", "vec AS qvec"), rows, 9, leaf_rows=16, cell_rows=64, scored=scored)
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    held = [(i, np.float32(v).astype(float).tolist()) for i, v in x if v]
+    assert sorted((r.q, r.id, r.r) for r in got.collect()) == brute(held, held, 9) and scored.value < 0.05 * 900**2
+    for name, n in (("QUERIES", 300), ("LEAST_QUERIES", 40), ("QUERY_ROWS", 64), ("ITEM_ROWS", 50)):
+        monkeypatch.setattr(knn, name, n)
+    few = rows.filter("id < 70")
+    got = knn.knn(few.selectExpr("id AS q", "cast(vec AS array<double>) AS qvec"), rows, 9, leaf_rows=16, cell_rows=64).collect()
+    assert sorted((r.q, r.id, r.r) for r in got) == brute([h for h in held if h[0] < 70], held, 9)
+
+
+def test_hash_deals_numbers_apart(spark):
+    keys = knn._apart(spark, 13)
+    df = spark.createDataFrame([(k,) for k in keys], "key bigint").repartition(13, "key")
+    assert len(keys) == 13 and df.select(F.spark_partition_id()).distinct().count() == 13
