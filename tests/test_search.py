@@ -386,3 +386,34 @@ def test_hash_deals_numbers_apart(spark):
     keys = knn._apart(spark, 13)
     df = spark.createDataFrame([(k,) for k in keys], "key bigint").repartition(13, "key")
     assert len(keys) == 13 and df.select(F.spark_partition_id()).distinct().count() == 13
+
+
+@pytest.mark.parametrize("known, common, hot", [(30, 6, 3), (8, 4, 2), (30, 30, 2)])
+def test_sim_tags_of_common_tags_leave_a_block_as_best_partners(spark, monkeypatch, known, common, hot):
+    """Known and other tags, lists and stream, rows of one id in two rows; no list of a common tag travels to each item."""
+    rng = np.random.default_rng(9)
+    data = [(i % 110, [f"t{int(x)}" for x in rng.zipf(1.5, 8) % 60], "done", i % 13 == 0) for i in range(120)]
+    df = spark.createDataFrame([*data, (None, ["t1"], "done", False)], "id bigint, tags array<string>, status string, hidden boolean")
+    for name, n in (("VOCABULARY", known), ("COMMON", common), ("MOST_ASKING", 40), ("LEAST_ASKING", 10), ("OTHERS", 9), ("CELLS", 50)):
+        monkeypatch.setattr(similar, name, n)
+    stats = similar.tag_stats(df)
+    own = similar.tag_idf(df, stats, 0.5).collect()
+    shown = [(i, set(t)) for i, t, _, hidden in data if not hidden]
+    count = {r.tag: r.n for r in stats.collect()}
+    total = len(shown) + 1
+    mine = {}
+    for i, tags, *_ in data:
+        mine.setdefault(i, []).extend((count[t], t) for t in set(tags) if t in count and 1 < count[t] <= 0.5 * total)
+    mine = {i: sorted(x)[: similar.OWN_TAGS] for i, x in mine.items()}
+    assert sorted((r.id, r.n, r.tag) for r in own if r.id is not None) == sorted((i, *x) for i, own in mine.items() for x in own)
+    want = []
+    for i, tags in mine.items():
+        sums = Counter()
+        for o, held in shown:
+            for c, t in tags:
+                if t in held and o != i:
+                    sums[o] += np.log(total / c)
+        best = sorted(((round(s, 9), o) for o, s in sums.items()), key=lambda x: (-x[0], -x[1]))[:5]
+        want += [(i, r + 1, o, pytest.approx(s, abs=2e-9)) for r, (s, o) in enumerate(best)]
+    got = similar.sim_tags(df, stats, max_share=0.5, k=5, hot_rows=hot)
+    assert sorted((r.id, r.r, r.other, r.s) for r in got.collect()) == sorted(want, key=lambda x: x[:3])
