@@ -417,3 +417,8 @@ def test_sim_tags_of_common_tags_leave_a_block_as_best_partners(spark, monkeypat
         want += [(i, r + 1, o, pytest.approx(s, abs=2e-9)) for r, (s, o) in enumerate(best)]
     got = similar.sim_tags(df, stats, max_share=0.5, k=5, hot_rows=hot)
     assert sorted((r.id, r.r, r.other, r.s) for r in got.collect()) == sorted(want, key=lambda x: x[:3])
+
+
+def test_few_vectors_spare_texts_a_shuffle(spark, sf):
+    plan = bindings.items_with_vectors(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("strategy=broadcast") < plan.index("doc_id")
